@@ -1,0 +1,43 @@
+"""Job parameters of one monthly run."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class RunParams:
+    """Parameters of a monthly run.
+
+    run_month   YYYYMM of the month being closed.
+    entity      rule-set family ("spx", "sct", "spt").
+    doc_type    "PO" or "PR"; picks the id and status columns.
+    """
+
+    run_month: int = 199806
+    entity: str = "spx"
+    doc_type: str = "PO"
+
+    @property
+    def year(self) -> int:
+        return self.run_month // 100
+
+    @property
+    def month(self) -> int:
+        return self.run_month % 100
+
+    @property
+    def prev_month(self) -> int:
+        y, m = self.year, self.month
+        return (y - 1) * 100 + 12 if m == 1 else y * 100 + m - 1
+
+    @property
+    def id_col(self) -> str:
+        return "po_number" if self.doc_type == "PO" else "pr_number"
+
+    @property
+    def line_col(self) -> str:
+        return "po_line" if self.doc_type == "PO" else "pr_line"
+
+
+DEFAULT = RunParams()
