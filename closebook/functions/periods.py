@@ -30,22 +30,23 @@ def ym_text(month_index: Column) -> Column:
     return F.concat(y.cast("string"), F.lit("/"), F.lpad(m.cast("string"), 2, "0"))
 
 
-def _part(s: Column, pos: int) -> Column:
-    return F.substring(s, pos, 2 if pos > 1 else 4).try_cast("int")
+def _digits(s: Column, pos: int, n: int) -> Column:
+    """Digits of a regex capture → int.  The capture is all digits whenever it
+    is not empty, so a guarded plain cast is exact; ``try_cast`` would pay a
+    caught exception per non-numeric row."""
+    return F.when(s != "", F.substring(s, pos, n).cast("int"))
 
 
 def _valid(s: Column, has_day: bool) -> Column:
-    y, m = F.substring(s, 1, 4).try_cast("int"), F.substring(s, 6, 2).try_cast("int")
-    ok = (s != "") & y.between(1900, 9999) & m.between(1, 12)
+    y, m = _digits(s, 1, 4), _digits(s, 6, 2)
+    ok = y.between(1900, 9999) & m.between(1, 12)
     if has_day:
-        d = F.substring(s, 9, 2).try_cast("int")
-        ok = ok & d.between(1, 31)
+        ok = ok & _digits(s, 9, 2).between(1, 31)
     return F.coalesce(ok, F.lit(False))
 
 
 def _ym(s: Column) -> Column:
-    return (F.substring(s, 1, 4).try_cast("int") * 100
-            + F.substring(s, 6, 2).try_cast("int"))
+    return _digits(s, 1, 4) * 100 + _digits(s, 6, 2)
 
 
 def period_from_description(desc: Column) -> Column:
@@ -67,6 +68,32 @@ def period_from_description(desc: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"), (v1 | v2 | v3 | v4).alias("ok"))
 
 
+def with_period_columns(df, desc: str, prefix: str = "period"):
+    """F-03 as a frame transform: the six regex captures and four validity
+    flags become plain intermediate columns, so each regex runs once per row
+    and the generated code stays small."""
+    s = F.trim(F.col(desc))
+    caps = {"_a1": (PAT_YMD_TO_YMD, 1), "_b1": (PAT_YMD_TO_YMD, 2), "_a2": (PAT_YM_TO_YM, 1),
+            "_b2": (PAT_YM_TO_YM, 2), "_a3": (PAT_YMD, 1), "_a4": (PAT_YM, 1)}
+    df = df.withColumns({k: F.regexp_extract(s, p, g) for k, (p, g) in caps.items()})
+    c = F.col
+    df = df.withColumns({
+        "_v1": _valid(c("_a1"), True) & _valid(c("_b1"), True),
+        "_v2": _valid(c("_a2"), False) & _valid(c("_b2"), False),
+        "_v3": _valid(c("_a3"), True),
+        "_v4": _valid(c("_a4"), False),
+    })
+    v1, v2, v3, v4 = c("_v1"), c("_v2"), c("_v3"), c("_v4")
+    df = df.withColumns({
+        f"{prefix}_start": F.when(v1, _ym(c("_a1"))).when(v2, _ym(c("_a2"))).when(v3, _ym(c("_a3")))
+                            .when(v4, _ym(c("_a4"))).otherwise(F.lit(SENTINEL_START)),
+        f"{prefix}_end": F.when(v1, _ym(c("_b1"))).when(v2, _ym(c("_b2"))).when(v3, _ym(c("_a3")))
+                          .when(v4, _ym(c("_a4"))).otherwise(F.lit(SENTINEL_END)),
+        f"{prefix}_ok": v1 | v2 | v3 | v4,
+    })
+    return df.drop(*caps, "_v1", "_v2", "_v3", "_v4")
+
+
 def period_text(start: Column, end: Column) -> Column:
     return F.concat(start.cast("string"), F.lit(","), end.cast("string"))
 
@@ -78,7 +105,7 @@ def erm_parse(text: Column) -> Column:
     pat = r"^([A-Za-z]{3})-(\d{2})$"
     mon = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
                            F.lower(F.regexp_extract(s, pat, 1)))
-    yy = F.regexp_extract(s, pat, 2).try_cast("int")
+    yy = _digits(F.regexp_extract(s, pat, 2), 1, 2)
     year = F.when(yy < 69, yy + 2000).otherwise(yy + 1900)
     return F.coalesce(F.when(mon > 0, year * 100 + mon.cast("int")), F.lit(0))
 

@@ -56,7 +56,8 @@ def asof_latest(lines: DataFrame, events: DataFrame, key: str, period_col: str,
                 values: list[str], period_alias: str) -> DataFrame:
     """J-02/J-03: per key the event with the latest period ≤ run month
     (unparsable period counts as 0), left-joined onto the lines."""
-    p = F.coalesce(F.col(period_col).try_cast("int"), F.lit(0))
+    txt = F.col(period_col).cast("string")
+    p = F.coalesce(F.when(txt.rlike(r"^\d{1,9}$"), txt.cast("int")), F.lit(0))
     ev = events.where(F.col(key).isNotNull()).withColumn("_p", p).where(F.col("_p") <= run_month)
     best = (ev.groupBy(key).agg(F.max(F.struct("_p", *values)).alias("_b"))
             .select(key, F.col("_b._p").cast("bigint").alias(period_alias),

@@ -29,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from closebook.functions.numbers import parse_double
+
 RULE_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules")
 
 # Fixed values (must equal the reference's): remark patterns of the built-in
@@ -147,6 +149,21 @@ def _is_null(col: str, ctx: Ctx) -> Column:
     return c.isNull()
 
 
+def _is_number(v) -> bool:
+    try:
+        float(v)
+        return True
+    except (TypeError, ValueError):
+        return False
+
+
+def _num(col: Column, name: str, ctx: Ctx) -> Column:
+    """Numeric view of a column: text goes through the guarded parser."""
+    if ctx.columns.get(name) == "string":
+        return parse_double(col)
+    return col.cast("double")
+
+
 def _rlike(col: Column, pattern: str) -> Column:
     return F.coalesce(col.rlike(pattern), F.lit(False))
 
@@ -166,7 +183,7 @@ def compile_check(check: dict, ctx: Ctx, status_col: str) -> Column | None:
     if t in ("equals", "not_equals"):
         v = c["value"]
         if c.get("cast"):
-            eq = col.try_cast("double") == F.lit(v).try_cast("double")
+            eq = _num(col, f, ctx) == F.lit(float(v) if _is_number(v) else None).cast("double")
         else:
             eq = col.cast("string") == F.lit(str(v))
         if t == "equals":
@@ -216,7 +233,7 @@ def compile_check(check: dict, ctx: Ctx, status_col: str) -> Column | None:
     if t in ("qty_matched", "qty_not_matched"):
         if not _needs(c, ctx, "entry_qty", "received_qty"):
             return None
-        m = F.coalesce(F.col("entry_qty").try_cast("double") == F.col("received_qty").try_cast("double"),
+        m = F.coalesce(_num(F.col("entry_qty"), "entry_qty", ctx) == _num(F.col("received_qty"), "received_qty", ctx),
                        F.lit(False))
         return m if t == "qty_matched" else ~m
     if t == "not_billed":
@@ -261,13 +278,16 @@ def compile_rule(rule: Rule, ctx: Ctx, status_col: str) -> Column | None:
     return reduce(op, masks)
 
 
-def _stages(rs: RuleSet, ctx: Ctx):
-    """Split the active rules into CASE stages (see module doc)."""
+def _stages(rs: RuleSet, ctx: Ctx, status_col: str = "status"):
+    """Split the active rules into CASE stages (see module doc): in first-match
+    mode at override/unconditional rules, in last-match mode at rules that read
+    the status (they must see the writes before them)."""
     stages, run = [], []
     for r in rs.rules:
         if ctx.doc_type not in r.apply_to:
             continue
-        if rs.mode == "first" and (r.override or r.unconditional):
+        reads = any(ch.get("field") == status_col for ch in r.checks)
+        if (rs.mode == "first" and (r.override or r.unconditional)) or (rs.mode == "last" and reads):
             if run:
                 stages.append(("run", run))
                 run = []
@@ -279,50 +299,113 @@ def _stages(rs: RuleSet, ctx: Ctx):
     return stages
 
 
+def _status_expr(rule_col: str, rules: list[Rule], status_in: str) -> Column:
+    """Current status decoded from the rule number (0 = status given on input)."""
+    r = F.col(rule_col)
+    expr = F.when(r == 0, F.col(status_in))
+    for x in rules:
+        expr = expr.when(r == x.no, F.lit(x.status))
+    return expr
+
+
 def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status",
                 rule_col: str = "status_rule", note_col: str = "status_note",
                 remark_col: str | None = None) -> DataFrame:
     """Apply a rule set; writes status, rule number and note (and, for label
-    rules with remarks, the remark column)."""
+    rules with remarks, the remark column).
+
+    Each stage rewrites only the integer ``rule_col`` (0 = status given on
+    input, null = open); it references the previous stage more than once, so
+    the optimizer keeps stages as separate projections instead of inlining one
+    CASE into the next.  Status, note and remark are decoded once at the end.
+    """
     ctx = Ctx(**{**ctx.__dict__, "refs": rs.refs or ctx.refs, "null_not_equals": rs.null_not_equals})
-    for c in (status_col, rule_col, note_col) + ((remark_col,) if remark_col else ()):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("bigint" if c == rule_col else "string"))
-    # empty texts count as no status
-    df = df.withColumn(status_col, F.when(~F.trim(F.col(status_col)).isin(*EMPTY_TEXTS), F.col(status_col)))
+    status_in = "_status_in"
+    if status_col in df.columns:
+        df = df.withColumn(status_in, F.when(~F.trim(F.col(status_col)).isin(*EMPTY_TEXTS), F.col(status_col)))
+    else:
+        df = df.withColumn(status_in, F.lit(None).cast("string"))
+    remark_in = "_remark_in"
+    if remark_col:
+        df = df.withColumn(remark_in, F.col(remark_col) if remark_col in df.columns else F.lit(None).cast("string"))
+    df = df.withColumn(rule_col, F.when(F.col(status_in).isNotNull(), F.lit(0).cast("bigint")))
     ctx.columns = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    fields = [rule_col, status_col, note_col] + ([remark_col] if remark_col else [])
-
-    def out(r: Rule) -> Column:
-        vals = [F.lit(r.no).cast("bigint"), F.lit(r.status).cast("string"), F.lit(r.note).cast("string")]
-        if remark_col:
-            vals.append(F.lit(r.remark).cast("string") if r.has_remark else F.col(remark_col))
-        return F.struct(*[v.alias(n) for v, n in zip(vals, fields)])
+    ctx.columns[status_col] = "string"
+    active = [r for r in rs.rules if ctx.doc_type in r.apply_to]
+    reads_status = {r.no for r in active if any(ch.get("field") == status_col for ch in r.checks)}
+    r_prev = F.col(rule_col)
+
+    sctx = Ctx(**{**ctx.__dict__, "columns": {**ctx.columns, "_status_now": "string"}})
+
+    def compiled(rules):
+        """Masks of the rules; checks reading the status read ``_status_now``."""
+        out = []
+        for r in rules:
+            masks = []
+            for ch in r.checks:
+                if ch.get("field") == status_col:
+                    ch = dict(ch, field="_status_now")
+                m = compile_check(ch, sctx, "_status_now")
+                if m is not None:
+                    masks.append(m)
+            if masks:
+                op = (lambda a, b: a | b) if r.combine == "or" else (lambda a, b: a & b)
+                out.append((r, reduce(op, masks)))
+        return out
+
+    # stage plan
+    stages, run = [], []
+    for r in active:
+        split = (rs.mode == "first" and (r.override or r.unconditional)) or (rs.mode == "last" and r.no in reads_status)
+        if split:
+            if run:
+                stages.append(("run", run))
+                run = []
+            stages.append(("single", [r]))
+        else:
+            run.append(r)
+    if run:
+        stages.append(("run", run))
 
-    current = F.struct(*[F.col(n).alias(n) for n in fields])
-    open_ = F.col(status_col).isNull()
-    for kind, rules in _stages(rs, ctx):
-        compiled = [(r, compile_rule(r, ctx, status_col)) for r in rules]
-        compiled = [(r, m) for r, m in compiled if m is not None]
-        if not compiled:
-            continue
-        if rs.mode == "last":
-            compiled = compiled[::-1]
-        expr = None
-        for r, m in compiled:
-            if rs.mode == "first":
-                if r.unconditional:
-                    gate = m
-                elif kind == "override":
-                    gate = m & (open_ | F.coalesce(F.col(status_col).isin(*r.override), F.lit(False)))
-                else:
-                    gate = open_ & m
-            else:
-                gate = m
-            expr = F.when(gate, out(r)) if expr is None else expr.when(gate, out(r))
-        df = df.withColumn("_rule_hit", expr.otherwise(current))
-        df = df.withColumns({n: F.col(f"_rule_hit.{n}") for n in fields}).drop("_rule_hit")
-    return df
+    for kind, rules in stages:
+        if rs.mode == "first" and kind == "run":
+            df = df.withColumn("_status_now", F.lit(None).cast("string"))  # open rows: no status
+            hits = compiled(rules)
+            if not hits:
+                continue
+            expr = None
+            for r, m in hits:
+                expr = F.when(m, F.lit(r.no).cast("bigint")) if expr is None else expr.when(m, F.lit(r.no).cast("bigint"))
+            new = F.when(r_prev.isNotNull(), r_prev).otherwise(expr)
+        else:
+            df = df.withColumn("_status_now", _status_expr(rule_col, active, status_in))
+            now = F.col("_status_now")
+            hits = compiled(rules)
+            if not hits:
+                continue
+            if rs.mode == "last":
+                hits = hits[::-1]
+            expr = None
+            for r, m in hits:
+                if rs.mode == "first" and not r.unconditional:
+                    m = m & (r_prev.isNull() | F.coalesce(now.isin(*r.override), F.lit(False)))
+                expr = F.when(m, F.lit(r.no).cast("bigint")) if expr is None else expr.when(m, F.lit(r.no).cast("bigint"))
+            new = expr.otherwise(r_prev)
+        df = df.withColumn(rule_col, new)
+
+    r = F.col(rule_col)
+    status = _status_expr(rule_col, active, status_in)
+    note = F.when(r == 0, F.col(note_col) if note_col in df.columns else F.lit(None).cast("string"))
+    for x in active:
+        note = note.when(r == x.no, F.lit(x.note))
+    outs = {status_col: status, note_col: note}
+    if remark_col:
+        rem = F.when(r == 0, F.col(remark_in))
+        for x in active:
+            rem = rem.when(r == x.no, F.lit(x.remark).cast("string") if x.has_remark else F.lit(None).cast("string"))
+        outs[remark_col] = F.when(r.isNull(), F.col(remark_in)).otherwise(rem)
+    df = df.withColumns(outs).withColumn(rule_col, F.when(r != 0, r))
+    return df.drop(status_in, "_status_now", *([remark_in] if remark_col else []))
 
 
 # --------------------------------------------------------------------------
@@ -462,7 +545,7 @@ def apply_rules_sql(source_sql: str, columns: dict, rs: RuleSet, ctx: Ctx,
     sql = (f"SELECT * REPLACE (CASE WHEN trim({status_col}) IN ('', 'nan') THEN NULL "
            f"ELSE {status_col} END AS {status_col}) FROM ({sql}) src1")
     open_ = f"({status_col} IS NULL)"
-    for si, (kind, rules) in enumerate(_stages(rs, ctx)):
+    for si, (kind, rules) in enumerate(_stages(rs, ctx, status_col)):
         compiled = [(r, sql_rule(r, ctx, status_col)) for r in rules]
         compiled = [(r, m) for r, m in compiled if m is not None]
         if not compiled:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.functions.numbers import money
-from closebook.functions.periods import erm_parse, period_from_description
+from closebook.functions.periods import erm_parse, with_period_columns
 from closebook.operators import rules as R
 from closebook.operators.lookups import asof_latest, map_fields, remark_with_fallback
 from closebook.plans import oracle_fns as O
@@ -53,11 +53,7 @@ ENRICHED_TYPES = {
 
 
 def with_period(df: DataFrame, desc: str = "item_description") -> DataFrame:
-    p = period_from_description(F.col(desc))
-    return (df.withColumn("_p", p)
-              .withColumns({"period_start": F.col("_p.start"), "period_end": F.col("_p.end"),
-                            "period_ok": F.col("_p.ok")})
-              .drop("_p"))
+    return with_period_columns(df, desc, "period")
 
 
 def enrich_po(t: Tables, run_month: int = RUN_MONTH) -> DataFrame:
