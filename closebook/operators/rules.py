@@ -328,6 +328,8 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
     remark_in = "_remark_in"
     if remark_col:
         df = df.withColumn(remark_in, F.col(remark_col) if remark_col in df.columns else F.lit(None).cast("string"))
+    rule_in = "_rule_in"
+    df = df.withColumn(rule_in, F.col(rule_col).cast("bigint") if rule_col in df.columns else F.lit(None).cast("bigint"))
     df = df.withColumn(rule_col, F.when(F.col(status_in).isNotNull(), F.lit(0).cast("bigint")))
     ctx.columns = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     ctx.columns[status_col] = "string"
@@ -376,7 +378,7 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
             expr = None
             for r, m in hits:
                 expr = F.when(m, F.lit(r.no).cast("bigint")) if expr is None else expr.when(m, F.lit(r.no).cast("bigint"))
-            new = F.when(r_prev.isNotNull(), r_prev).otherwise(expr)
+            new = F.coalesce(r_prev, expr)  # one reference: stages inline linearly
         else:
             df = df.withColumn("_status_now", _status_expr(rule_col, active, status_in))
             now = F.col("_status_now")
@@ -404,8 +406,8 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
         for x in active:
             rem = rem.when(r == x.no, F.lit(x.remark).cast("string") if x.has_remark else F.lit(None).cast("string"))
         outs[remark_col] = F.when(r.isNull(), F.col(remark_in)).otherwise(rem)
-    df = df.withColumns(outs).withColumn(rule_col, F.when(r != 0, r))
-    return df.drop(status_in, "_status_now", *([remark_in] if remark_col else []))
+    df = df.withColumns(outs).withColumn(rule_col, F.when(r == 0, F.col(rule_in)).otherwise(r))
+    return df.drop(status_in, rule_in, "_status_now", *([remark_in] if remark_col else []))
 
 
 # --------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from closebook.plans import registry
 _MODULES = [
     "closebook.plans.q_slice",
     "closebook.plans.q_scalars",
+    "closebook.plans.q_aggs",
 ]
 
 

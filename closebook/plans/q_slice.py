@@ -83,7 +83,7 @@ def q_format_error(spark, sf):
 
 @register("accrual_flag", "SELECT po_line, status, accrue FROM po_status")
 def q_accrual_flag(spark, sf):
-    return FL.po_status(Tables(spark, sf)).select("po_line", "status", "accrue")
+    return FL.ledger(Tables(spark, sf)).select("po_line", "status", "accrue")
 
 
 ACCR_COLS = ["po_line", "accrue", "account_code", "accr_product", "accr_region", "accr_currency", "accr_dept"]
@@ -91,7 +91,7 @@ ACCR_COLS = ["po_line", "accrue", "account_code", "accr_product", "accr_region",
 
 @register("accrual_amount", f"SELECT {', '.join(ACCR_COLS)}, CAST(accr_amount AS DOUBLE) AS accr_amount FROM po_status")
 def q_accrual_amount(spark, sf):
-    df = FL.po_status(Tables(spark, sf))
+    df = FL.ledger(Tables(spark, sf))
     return df.select(*ACCR_COLS, F.col("accr_amount").cast("double").alias("accr_amount"))
 
 
@@ -104,14 +104,14 @@ def q_status_distribution(spark, sf):
     over the grouped result (one row per status), never over the lines."""
     from pyspark.sql import Window
 
-    g = (FL.po_status(Tables(spark, sf)).groupBy("status")
+    g = (FL.ledger(Tables(spark, sf)).groupBy("status")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("entry_amount").cast("double").alias("amount")))
     return g.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()).cast("double"))
 
 
 def accrued_by_account(spark, sf):
     """Flagship: accrued amount by account and status."""
-    df = FL.po_status(Tables(spark, sf)).where(F.col("accrue") == "Y")
+    df = FL.ledger(Tables(spark, sf)).where(F.col("accrue") == "Y")
     return (df.groupBy("account_code", "status")
               .agg(F.count(F.lit(1)).alias("lines"), F.sum("accr_amount").cast("double").alias("accr_amount")))
 
