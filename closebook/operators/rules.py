@@ -79,10 +79,20 @@ class Ctx:
     null_not_equals: bool = False
 
 
-def load_rules(name: str) -> RuleSet:
+def load_rules(name) -> RuleSet:
+    """Rule set by file name (``closebook/rules/<name>.toml``), path, or an
+    already-parsed dict of the same shape."""
+    if isinstance(name, RuleSet):
+        return name
+    if isinstance(name, dict):
+        return rules_from_dict(name)
     path = name if os.path.isabs(name) else os.path.join(RULE_DIR, f"{name}.toml")
     with open(path, "rb") as fh:
         raw = tomllib.load(fh)
+    return rules_from_dict(raw, name)
+
+
+def rules_from_dict(raw: dict, name: str = "inline") -> RuleSet:
     meta = raw.get("meta", {})
     rules = []
     for i, r in enumerate(raw.get("rules", []), start=1):

@@ -6,6 +6,7 @@ _MODULES = [
     "closebook.plans.q_slice",
     "closebook.plans.q_scalars",
     "closebook.plans.q_aggs",
+    "closebook.plans.q_rules",
 ]
 
 

@@ -152,11 +152,14 @@ cte("po_enriched", f"""
 
 
 def rules_sql(source: str, rule_sets, columns: dict | None = None, run_month: int = RUN_MONTH,
-              doc_type: str = "PO", **kw) -> str:
+              doc_type: str = "PO", extra: dict | None = None, **kw) -> str:
     cols = dict(columns or ENRICHED_TYPES)
     sql = f"SELECT * FROM {source}"
     for rs in rule_sets:
-        sql = R.apply_rules_sql(sql, cols, R.load_rules(rs), ctx_for(run_month, doc_type, cols), **kw)
+        ctx = ctx_for(run_month, doc_type, cols)
+        for k, v in (extra or {}).items():
+            setattr(ctx, k, v)
+        sql = R.apply_rules_sql(sql, cols, R.load_rules(rs), ctx, **kw)
         cols.update({"status": "string", "status_rule": "bigint", "status_note": "string"})
     return sql
 
