@@ -7,6 +7,7 @@ _MODULES = [
     "closebook.plans.q_scalars",
     "closebook.plans.q_aggs",
     "closebook.plans.q_rules",
+    "closebook.plans.q_sources",
 ]
 
 
