@@ -8,6 +8,7 @@ _MODULES = [
     "closebook.plans.q_aggs",
     "closebook.plans.q_rules",
     "closebook.plans.q_sources",
+    "closebook.plans.q_lookups",
 ]
 
 

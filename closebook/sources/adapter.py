@@ -217,3 +217,20 @@ def ap_invoice(t: Tables) -> DataFrame:
         F.concat(F.lit("V"), F.col("l_orderkey").cast("string"), F.lit("-"),
                  F.col("l_linenumber").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("voucher_no"),
     )
+
+
+# Fixed values of the closing list: spec texts by order priority.
+CLOSING_SPECS = {"5-LOW": "ALL", "4-NOT SPECIFIED": "Line1~3", "3-MEDIUM": "Line1、3"}
+
+
+def closing_list(t: Tables) -> DataFrame:
+    """Closing list of finished orders: whole document ('ALL') or a line spec;
+    done flag 'V' or blank (blank means not done)."""
+    o = t.orders.where(F.col("o_orderstatus") == "F")
+    spec = _case(F.col("o_orderpriority"), CLOSING_SPECS)
+    return o.select(
+        F.concat(F.lit("PO"), F.col("o_orderkey").cast("string")).alias("po_number"),
+        spec.alias("line_spec"),
+        F.when(F.col("o_totalprice") > 200000, F.lit("V")).otherwise(F.lit("")).alias("done"),
+        F.to_date("o_orderdate").alias("close_date"),
+    ).where(F.col("line_spec").isNotNull())

@@ -148,3 +148,18 @@ cte("ap_invoice", f"""
     CASE WHEN l.l_tax <> 0.0 THEN 'ITEM_TO_RECEIPT' END AS match_type,
     'V' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' || CAST(l.k AS VARCHAR) AS voucher_no
   FROM (SELECT *, unnest(generate_series(0, l_linenumber % 3)) AS k FROM lineitem WHERE l_returnflag <> 'N') l""")
+
+cte("closing_list", """
+  SELECT 'PO' || CAST(o_orderkey AS VARCHAR) AS po_number,
+    CASE o_orderpriority WHEN '5-LOW' THEN 'ALL' WHEN '4-NOT SPECIFIED' THEN 'Line1~3' WHEN '3-MEDIUM' THEN 'Line1、3' END AS line_spec,
+    CASE WHEN o_totalprice > 200000 THEN 'V' ELSE '' END AS done,
+    CAST(o_orderdate AS DATE) AS close_date
+  FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM')""")
+
+cte("closing_lines", r"""
+  SELECT po_number, CAST(unnest(generate_series(
+           CAST(split_part(part, '~', 1) AS BIGINT),
+           CAST(CASE WHEN part LIKE '%~%' THEN split_part(part, '~', 2) ELSE part END AS BIGINT))) AS BIGINT) AS line_no,
+         done
+  FROM (SELECT po_number, done, unnest(string_split_regex(regexp_replace(line_spec, '^Line', ''), '[、,]')) AS part
+        FROM closing_list WHERE line_spec <> 'ALL') p""")
