@@ -9,6 +9,7 @@ _MODULES = [
     "closebook.plans.q_rules",
     "closebook.plans.q_sources",
     "closebook.plans.q_lookups",
+    "closebook.plans.q_domain",
 ]
 
 

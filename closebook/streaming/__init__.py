@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The month-end accrual job has no streaming operators (no watermarks,
+windows over event time or stateful operators) — it is a monthly batch over
+complete extracts, so every flow here is a batch DataFrame plan.
+"""
