@@ -66,14 +66,24 @@ def asof_latest(lines: DataFrame, events: DataFrame, key: str, period_col: str,
 
 
 def remark_with_fallback(lines: DataFrame, remarks: DataFrame, primary: str, fallback: str,
-                         remark: str, target: str, flag: str) -> DataFrame:
+                         remark: str, target: str, flag: str,
+                         fallback_to_primary: Column | None = None) -> DataFrame:
     """J-08: remark by the primary line key, else by the fallback key; ``flag``
-    tells whether the line is in the remark list at all (J-09)."""
+    tells whether the line is in the remark list at all (J-09).
+
+    When the fallback key maps one-to-one onto the primary key
+    (``fallback_to_primary``), the fallback side is re-keyed before the join,
+    so both lookups share the lines' existing partitioning on the primary key
+    instead of shuffling every line a second time."""
     by_p = (remarks.where(F.col(primary).isNotNull()).groupBy(primary)
             .agg(F.max(remark).alias("_r1"), F.lit(True).alias("_in1")))
     by_f = (remarks.where(F.col(fallback).isNotNull()).groupBy(fallback)
             .agg(F.max(remark).alias("_r2"), F.lit(True).alias("_in2")))
-    out = lines.join(by_p, primary, "left").join(by_f, fallback, "left")
+    if fallback_to_primary is not None:
+        by_f = by_f.select(fallback_to_primary.alias(primary), "_r2", "_in2")
+        out = lines.join(by_p, primary, "left").join(by_f, primary, "left")
+    else:
+        out = lines.join(by_p, primary, "left").join(by_f, fallback, "left")
     return (out.withColumn(target, F.coalesce("_r1", "_r2"))
                .withColumn(flag, F.coalesce(F.col("_in1"), F.col("_in2"), F.lit(False)))
                .drop("_r1", "_r2", "_in1", "_in2"))

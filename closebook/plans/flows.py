@@ -64,7 +64,7 @@ def enrich_po(t: Tables, run_month: int = RUN_MONTH) -> DataFrame:
     inv = A.ap_invoice(t).withColumn("match_type", F.coalesce("match_type", F.lit("system_filled")))
     lines = asof_latest(lines, inv, "po_line", "period", run_month, ["match_type"], "gl_date")
     lines = remark_with_fallback(lines, A.procurement(t), "po_line", "pr_line", "remark",
-                                 "proc_remark", "in_procurement")
+                                 "proc_remark", "in_procurement", A.pr_to_po_line(F.col("pr_line")))
     return lines
 
 

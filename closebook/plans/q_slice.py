@@ -57,7 +57,8 @@ def q_ap_asof(spark, sf):
 def q_proc(spark, sf):
     t = Tables(spark, sf)
     out = remark_with_fallback(A.po_lines(t).select("po_line", "pr_line"), A.procurement(t),
-                               "po_line", "pr_line", "remark", "proc_remark", "in_procurement")
+                               "po_line", "pr_line", "remark", "proc_remark", "in_procurement",
+                               A.pr_to_po_line(F.col("pr_line")))
     return out.drop("pr_line")
 
 

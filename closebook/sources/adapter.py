@@ -146,6 +146,11 @@ def clean_raw_columns(raw: DataFrame) -> DataFrame:
             .drop("line_raw", "gl_raw"))
 
 
+def pr_to_po_line(pr_line: Column) -> Column:
+    """PR line key → the PO line key of the same line (keys share the suffix)."""
+    return F.concat(F.lit("PO"), F.substring(pr_line, 3, 1 << 20))
+
+
 def po_lines(t: Tables) -> DataFrame:
     return clean_raw_columns(po_raw(t))
 
