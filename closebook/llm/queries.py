@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebook.llm import chat, decontam, langid, mixing, sharding
+from closebook.llm import chat, decontam, langid, lm, mixing, parity_join, quality, sharding, tokenfile, toxicity
 from closebook.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +37,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@register
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
@@ -51,3 +63,18 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_back(tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
