@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 128
 ROUNDS = 16
 SHARD_BLOCKS = 1024
+MAX_TASKS = 10_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def draw_slots(targets: DataFrame, block: int = BLOCK, seed: int = 7, shard_bloc
     total = Window.partitionBy(F.lit(0))
     t = t.withColumn("_shards", F.ceil(F.sum("_slots").over(total) / shard_blocks).cast("long"))
     t = t.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_slots - 1) div {piece}"))))
-    t = t.repartition(F.col("source"), F.col("_piece"))
+    n = t.count()  # pieces, not slots: the number of tasks that make them
+    t = t.repartition(max(1, min(n, MAX_TASKS)), F.col("source"), F.col("_piece"))
     t = t.withColumn("_j", F.explode(F.sequence(F.col("_piece") * piece,
                                                 F.least(F.col("_slots"), (F.col("_piece") + 1) * piece) - 1)))
     t = t.withColumn("epoch", F.expr("_j div n_blocks").cast("int")).withColumn("block", F.col("_j") % F.col("n_blocks"))
@@ -113,7 +115,7 @@ def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, text_hash, size, at, block, lo, first, words): the
     part of each document that lies in each block of its source."""
     rows = sizes.count()
-    nb = bucket_count(rows)
+    nb = bucket_count(rows, 2_000)
     mixed = F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text_hash"))
     s = sizes.withColumn("_bucket", F.pmod(mixed, F.lit(nb)))
     s = with_prefix(s, ["source"], "_bucket", [mixed, F.col("doc_id"), F.col("text_hash"), F.col("size")],
@@ -127,7 +129,9 @@ def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
 def drawn_spans(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(doc_id, source, text_hash, size, at, epoch, out_shard, first, words):
     the word spans of documents that the mixture takes."""
-    p, d = pack(sizes, block).alias("p"), draw_slots(targets, block, seed).alias("d")
+    # Both sides grow with the words; the planner takes the slots, made from a
+    # row per source, for small and must not broadcast them.
+    p, d = pack(sizes, block).alias("p"), draw_slots(targets, block, seed).hint("shuffle_merge").alias("d")
     used = F.least(F.col("p.words"), F.greatest(F.lit(0), F.col("d.take") - F.col("p.lo")))
     return (p.join(d, F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.block") == F.col("d.block")))
             .select("p.doc_id", "p.source", "p.text_hash", "p.size", "p.at", "d.epoch", "d.out_shard", "p.first",
