@@ -9,19 +9,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
+PIECE_ROWS = 4096
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``most`` bytes of text (one
-    longer text stands alone): bounds what a task holds besides the batch."""
+    longer text stands alone) and ``PIECE_ROWS`` rows: bounds what a task
+    holds besides the batch."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(size)
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            to = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(ends, done + most, side="right"))), b.num_rows)
             yield b.slice(at, to - at)
             at = to
 

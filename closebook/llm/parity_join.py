@@ -47,7 +47,7 @@ WIDTH = 4
 SHARE = 85  # percent
 SKETCH_BITS = 1024
 BUCKET_BYTES = 16 << 20
-FLUSH = 1_500_000
+FLUSH = 400_000
 BLOCK_MEMBERS = 2048
 
 
