@@ -46,7 +46,7 @@ from closebook.llm.components import components
 WIDTH = 4
 SHARE = 85  # percent
 SKETCH_BITS = 1024
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 FLUSH = 400_000
 BLOCK_MEMBERS = 2048
 
@@ -248,23 +248,16 @@ def linked(docs: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFra
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             h, offsets = shingle_sets(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])], pa.binary())], ["id", "s"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[k].as_py(), np.uint64) for c in ("sa", "sb"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = 100 * both >= share * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["u", "v"]).filter(pa.array(ok))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(h)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["id", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    s = texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
-    s = stored(s, "sets")
+    s = stored(texts.mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
     both = (pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"), "links")
+    common = F.size(F.array_intersect("sa", "sb"))
+    true = 100 * common >= share * (F.size("sa") + F.size("sb") - common)
+    return stored(both.where(true).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
 def possible(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
