@@ -35,7 +35,7 @@ WIDTHS = (8, 4, 4)
 RANK_BITS = 512
 SEGMENT = 1 << 19
 END_ID = 2
-CACHE = 400_000
+CACHE = 600_000
 MAGIC = b"DAC1"
 
 
@@ -125,17 +125,37 @@ class TokenCodes:
         return out
 
 
-#: White space behind a blank; at every other blank the pre-tokeniser starts a new piece.
-UNEVEN = re.compile(r" (?=\s)")
+#: Two white space characters in a row; elsewhere every blank starts a piece and every newline is one.
+UNEVEN = re.compile(r"\s\s")
+
+
+def parts_of(text: str) -> list[str]:
+    """Parts that the pre-tokeniser never joins: cut before each blank, around
+    each newline and before a comma or full stop that ends a word."""
+    if UNEVEN.search(text):
+        return [text]
+    out, lead = [], ""
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            out.append("\n")
+        lead = ""
+        for w in line.split(" "):
+            if w[-1:] in ",." and w[-2:-1].isalpha():
+                out.append(lead + w[:-1])
+                out.append(w[-1])
+            else:
+                out.append(lead + w)
+            lead = " "
+    return [p for p in out if p]
 
 
 class Pieces:
     """ids of texts through the tokenizers library, each distinct piece
     between blanks encoded once while the cache lasts.
 
-    The byte-level pre-tokeniser begins a piece at every blank that is
-    followed by other than white space, and pieces are encoded independently,
-    so a text may be cut there.  Other texts are encoded whole.
+    The byte-level pre-tokeniser cuts a text at the places of ``parts_of``
+    too, and what it cuts is encoded independently, so the ids are those of
+    the whole text.
     """
 
     def __init__(self, path: str):
@@ -168,11 +188,7 @@ class Pieces:
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if UNEVEN.search(t):
-                p = [t]
-            else:
-                first, *more = t.split(" ")
-                p = ([first] if first else []) + [" " + x for x in more]
+            p = parts_of(t)
             parts += p
             n_parts[k] = len(p)
         codes = self._codes(parts)
@@ -196,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "token-files") -> DataFra
     to the shared folder; returns the table of segments."""
     rows = docs.count()
     d = docs.select("doc_id", "text")
-    parts = bucket_count(rows, 5_000)
+    parts = bucket_count(rows, 8_000)
     d = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
