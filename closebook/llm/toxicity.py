@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from closebook.llm.arrow_words import coded, mixed, pieces, split, word_hashes
 
-BITS = 22
-MAX_ROWS = 10_000
+BITS = 21
+MAX_ROWS = 6_000
 FEATURES = 2_000
 FOLDS = 5
 PARTS = range(3, 8)
