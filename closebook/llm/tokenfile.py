@@ -166,24 +166,30 @@ class Pieces:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.pool = np.zeros(0, np.uint32)  # the ids of all parts seen, end to end
+        self.size = np.zeros(0, np.int64)
 
     def _codes(self, parts: list[str]) -> np.ndarray:
         get = self.cache.get
         codes = [get(p, -1) for p in parts]
         if -1 in codes:
             new = list(dict.fromkeys(p for p, c in zip(parts, codes) if c < 0))
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[p] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
+            ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.cache.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))])
+            self.size = np.concatenate([self.size, n])
             codes = [get(p) for p in parts]
         return np.array(codes, np.int64)
 
     def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
         if len(self.cache) > CACHE:
-            self.cache, self.ids = {}, []
+            self.forget()
         parts, n_parts = [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
             if not t:
@@ -192,8 +198,7 @@ class Pieces:
             parts += p
             n_parts[k] = len(p)
         codes = self._codes(parts)
-        size = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        pool = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
+        size, pool = self.size, self.pool
         begin = np.cumsum(size) - size
         n = size[codes]
         at = np.cumsum(n) - n
