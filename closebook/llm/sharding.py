@@ -69,9 +69,11 @@ def rebalanced(rows: list[tuple], weights: dict[int, int], n_shards: int, slack:
     load = {s: sum(weights.get(v, 0) for v in slots) for s, slots in held.items()}
     mean = sum(weights.values()) / n_shards
     for s, slots in held.items():
+        if load[s] <= mean * (1 + slack):
+            continue
         for slot in sorted(slots, key=lambda v: (-weights.get(v, 0), v)):
             w = weights.get(slot, 0)
-            if w and load[s] - w >= mean * (1 - slack) and load[s] > mean * (1 + slack):
+            if w and load[s] - w >= mean:
                 homeless.append(slot)
                 load[s] -= w
     left = set(homeless)
