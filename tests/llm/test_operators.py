@@ -274,3 +274,20 @@ def test_lm(docs, none):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base)) and got[i].score < 0
     assert lm.score(none, path).count() == 0
+    held = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 10 = 0").cache()  # nothing to learn from
+    alone = lm.score(held, path).collect()
+    assert len(alone) == held.count() and all(r.train_tokens == r.n_known == 0 and r.score < 0 for r in alone)
+    assert lm.score(docs.drop("lang"), path).count() == len(ROWS)
+
+
+def test_lm_learns_the_groups(spark):
+    """Texts of two labels with words of their own: a held-out text's own
+    words tell its group, so it costs less than without labels."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    kinds = {"en": ["stone", "river", "green"], "de": ["Vogel", "gross", "blau"]}
+    rows = [(i, " ".join(R.choice(kinds[g]) for _ in range(40)), g) for i in range(200) for g in [["en", "de"][i % 2]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = lambda df: sum(r.score for r in lm.score(df, path).collect() if r.held_out)
+    base = sum(r.base_score for r in lm.score(d, path).collect() if r.held_out)
+    assert total(d) > total(d.drop("lang")) and total(d) > base
