@@ -75,7 +75,7 @@ class Ctx:
     doc_type: str = "PO"
     closing_month: int | None = None
     refs: dict = field(default_factory=dict)
-    fa_accounts: tuple = ("199999",)
+    fa_accounts: tuple = ("171000",)
     null_not_equals: bool = False
 
 

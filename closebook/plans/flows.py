@@ -103,7 +103,7 @@ def accrual_fields(df: DataFrame, doc_type: str = "PO", status_col: str = "statu
               }))
 
 
-def po_status(t: Tables, run_month: int = RUN_MONTH, rule_sets=("spx_stage1", "spx_erm")) -> DataFrame:
+def po_status(t: Tables, run_month: int = RUN_MONTH, rule_sets=("special_lines", "receipt_month")) -> DataFrame:
     df = enrich_po(t, run_month)
     ctx = ctx_for(run_month)
     for rs in rule_sets:
@@ -190,4 +190,4 @@ def accrual_sql(src: str, doc_type: str = "PO") -> str:
     FROM (SELECT *, CASE WHEN {flag} THEN 'Y' ELSE 'N' END AS accrue FROM ({src}) a0) a1"""
 
 
-cte("po_status", accrual_sql(format_error_sql(rules_sql("po_enriched", ("spx_stage1", "spx_erm")))))
+cte("po_status", accrual_sql(format_error_sql(rules_sql("po_enriched", ("special_lines", "receipt_month")))))

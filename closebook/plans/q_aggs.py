@@ -157,12 +157,12 @@ CAPITAL_LIMIT = 80000
 SELECT po_line, po_number, CAST(doc_fa_amount AS DOUBLE) AS doc_fa_amount,
   CASE WHEN doc_fa_amount IS NOT NULL AND doc_fa_amount < {CAPITAL_LIMIT} THEN 'below_capital_limit' END AS limit_flag
 FROM po_lines pl LEFT JOIN (SELECT po_number AS d, sum(entry_amount) AS doc_fa_amount FROM po_lines
-  WHERE gl_number = '199999' GROUP BY po_number) g ON pl.po_number = g.d""")
+  WHERE gl_number = '171000' GROUP BY po_number) g ON pl.po_number = g.d""")
 def installment_limit(spark, sf):
     """A-13 (Q5 applied): documents with FA lines whose FA total is under the
     capital limit are flagged on every line."""
     pl = A.po_lines(Tables(spark, sf))
-    g = pl.where(F.col("gl_number") == "199999").groupBy("po_number").agg(F.sum("entry_amount").alias("doc_fa_amount"))
+    g = pl.where(F.col("gl_number") == "171000").groupBy("po_number").agg(F.sum("entry_amount").alias("doc_fa_amount"))
     out = pl.select("po_line", "po_number").join(g, "po_number", "left")
     return out.select("po_line", "po_number", F.col("doc_fa_amount").cast("double").alias("doc_fa_amount"),
                       F.when(F.col("doc_fa_amount") < CAPITAL_LIMIT, F.lit("below_capital_limit")).alias("limit_flag"))

@@ -13,20 +13,20 @@ from closebook.sources import adapter as A
 from closebook.sources.adapter_sql import RUN_MONTH
 from closebook.sources.testdata import Tables
 
-# Fixed synthetic keyword → account rules (first rule in this order wins).
+# Our own keyword → account rules (first rule in this order wins).
 KEYWORD_ACCOUNTS = [
-    ("520014", "(?i)cleaning|service fee"),
-    ("520019", "(?i)equipment|gizmo"),
-    ("520036", "(?i)office rent"),
-    ("650005", "(?i)shipping|bolt"),
+    ("171200", "(?i)gear|gizmo|equipment"),
+    ("614200", "(?i)agent fee"),
+    ("614300", "(?i)utilities"),
+    ("132000", "(?i)deposit"),
 ]
-# Fixed synthetic description categories: (category, include, exclude).
+# Our own description categories: (category, include, exclude).
 CATEGORIES = [
-    ("Deposit", "(?i)deposit", None),
-    ("Rental", "(?i)rent", "(?i)agent"),
-    ("Utilities", "(?i)utilities", "(?i)supplies"),
-    ("Supplies", "(?i)equipment|gizmo|widget", "(?i)ring"),
-    ("Service Fee", "(?i)service fee|agent fee", None),
+    ("Hardware", "(?i)bolt|gear|ring", "(?i)fee"),
+    ("Held money", "(?i)deposit", "(?i)small"),
+    ("Fees", "(?i)fee", "(?i)utilities"),
+    ("Premises", "(?i)office|utilities", None),
+    ("Machines", "(?i)equipment|gizmo|widget", None),
 ]
 
 
@@ -116,14 +116,14 @@ CAPITALISE_AT = 30000
 
 
 @register("ppe_class", f"""
-SELECT po_line, CASE WHEN gl_number = '199999' AND entry_amount >= {CAPITALISE_AT} THEN 'capitalise'
-  WHEN gl_number = '199999' THEN 'expense_small_asset' ELSE 'expense' END AS ppe_class,
-  CASE WHEN gl_number = '199999' AND received_qty = entry_qty THEN 'Y' ELSE 'N' END AS fa_accrue
+SELECT po_line, CASE WHEN gl_number = '171000' AND entry_amount >= {CAPITALISE_AT} THEN 'capitalise'
+  WHEN gl_number = '171000' THEN 'expense_small_asset' ELSE 'expense' END AS ppe_class,
+  CASE WHEN gl_number = '171000' AND received_qty = entry_qty THEN 'Y' ELSE 'N' END AS fa_accrue
 FROM po_lines""")
 def q_ppe_class(spark, sf):
     """L-08: capitalise/expense by threshold, FA accrue state."""
     pl = A.po_lines(Tables(spark, sf))
-    fa = F.col("gl_number") == "199999"
+    fa = F.col("gl_number") == "171000"
     cls = F.when(fa & (F.col("entry_amount") >= CAPITALISE_AT), F.lit("capitalise")).when(fa, F.lit("expense_small_asset")) \
         .otherwise(F.lit("expense"))
     return pl.select("po_line", cls.alias("ppe_class"),

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from closebook.operators import rules as R
-from closebook.operators.lookups import broadcast_bounded, dedup_lookup, join_generic
+from closebook.operators.lookups import dedup_lookup, join_generic
 from closebook.plans import flows as FL
 from closebook.plans.registry import register
 from closebook.sources import adapter as A
@@ -83,14 +83,14 @@ def _ref_accounts(t):
     yields at most 22 codes), description and liability, first per code."""
     ref = A.po_lines(t).select("gl_number").where(F.col("gl_number").isNotNull()).distinct()
     return ref.select("gl_number", F.concat(F.lit("Account "), F.col("gl_number")).alias("account_name"),
-                      F.concat(F.lit("2"), F.substring("gl_number", 2, 5)).alias("liability"))
+                      F.concat(F.lit("2"), F.regexp_replace("gl_number", "^.", "")).alias("liability"))
 
 
 @register("account_lookup", """
 SELECT s.po_line, s.account_code, r.account_name,
-  CASE WHEN s.status = 'completed_prepaid' THEN '111111' ELSE r.liability END AS liability
+  CASE WHEN s.status = 'completed_in_advance' THEN '111111' ELSE r.liability END AS liability
 FROM po_status s LEFT JOIN (SELECT DISTINCT gl_number, 'Account ' || gl_number AS account_name,
-  '2' || substr(gl_number, 2, 5) AS liability FROM po_lines WHERE gl_number IS NOT NULL) r ON s.account_code = r.gl_number
+  '2' || substr(gl_number, 2) AS liability FROM po_lines WHERE gl_number IS NOT NULL) r ON s.account_code = r.gl_number
 WHERE s.accrue = 'Y'""")
 def q_account_lookup(spark, sf):
     """J-05 (Q10): de-duplicate the reference, then a broadcast join by key."""
@@ -99,10 +99,10 @@ def q_account_lookup(spark, sf):
     name = dedup_lookup(ref, "gl_number", "account_name")
     liab = dedup_lookup(ref, "gl_number", "liability")
     led = FL.ledger(t).where(F.col("accrue") == "Y").select("po_line", "account_code", "status")
-    out = (led.join(broadcast_bounded(name.withColumnRenamed("gl_number", "account_code"), 22, "GL rule"), "account_code", "left")
-              .join(broadcast_bounded(liab.withColumnRenamed("gl_number", "account_code"), 22, "GL rule"), "account_code", "left"))
+    out = (led.join(name.withColumnRenamed("gl_number", "account_code"), "account_code", "left")
+              .join(liab.withColumnRenamed("gl_number", "account_code"), "account_code", "left"))
     return out.select("po_line", "account_code", "account_name",
-                      F.when(F.col("status") == "completed_prepaid", F.lit("111111")).otherwise(F.col("liability")).alias("liability"))
+                      F.when(F.col("status") == "completed_in_advance", F.lit("111111")).otherwise(F.col("liability")).alias("liability"))
 
 
 @register("gl_map", """
@@ -115,7 +115,7 @@ def q_gl_map(spark, sf):
     t = Tables(spark, sf)
     m = (A.prev_workpaper(t, RUN_MONTH).select(F.col("account_code").alias("gl_number")).distinct()
          .withColumn("code", F.concat(F.lit("A"), F.col("gl_number"))))
-    out = A.po_lines(t).select("gl_number").join(broadcast_bounded(m, 21, "account rule"), "gl_number", "left")
+    out = A.po_lines(t).select("gl_number").join(m, "gl_number", "left")
     return out.groupBy("gl_number").agg(F.count(F.lit(1)).alias("n"), F.max("code").alias("mapped_code"),
                                         F.count_if(F.col("code").isNull()).alias("unmapped"))
 
@@ -154,7 +154,7 @@ def q_product_exclude(spark, sf):
 SELECT po_line, closed_for_invoice = '1' AS is_closed,
   CASE WHEN closed_for_invoice = '1' THEN CAST(entry_qty - billed_qty AS VARCHAR) ELSE '未結案' END AS closed_diff_qty,
   CASE WHEN billed_qty = 0 THEN '未入帳' ELSE CAST(entry_qty - billed_qty AS VARCHAR) END AS invoice_gap,
-  coalesce(gl_number = '199999', false) AS is_fa,
+  coalesce(gl_number = '171000', false) AS is_fa,
   coalesce(regexp_matches(department, '^20[34]'), false) AS is_sm,
   CAST(NULL AS VARCHAR) AS remark_fn, 'PO' AS doc_type
 FROM po_lines""")
@@ -166,7 +166,7 @@ def q_column_addition(spark, sf):
         "po_line", closed.alias("is_closed"),
         F.when(closed, (F.col("entry_qty") - F.col("billed_qty")).cast("string")).otherwise(F.lit("未結案")).alias("closed_diff_qty"),
         F.when(F.col("billed_qty") == 0, F.lit("未入帳")).otherwise((F.col("entry_qty") - F.col("billed_qty")).cast("string")).alias("invoice_gap"),
-        F.coalesce(F.col("gl_number") == "199999", F.lit(False)).alias("is_fa"),
+        F.coalesce(F.col("gl_number") == "171000", F.lit(False)).alias("is_fa"),
         F.coalesce(F.col("department").rlike("^20[34]"), F.lit(False)).alias("is_sm"),
         F.lit(None).cast("string").alias("remark_fn"), F.lit("PO").alias("doc_type"))
 

@@ -59,7 +59,7 @@ CHECK_SETS = {
 ENTITY_SETS = {
     "status_sct": (["sct_erm"], "PO", {}),
     "status_spt": (["spt_erm"], "PO", {}),
-    "status_pr_erm": (["spx_erm"], "PR", {}),
+    "status_pr_erm": (["receipt_month"], "PR", {}),
     "status_procurement": (["procurement"], "PO", {"closing_month": 199804}),
 }
 

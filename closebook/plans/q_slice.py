@@ -62,23 +62,23 @@ def q_proc(spark, sf):
     return out.drop("pr_line")
 
 
-@register("status_erm", f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.rules_sql('po_enriched', ['spx_erm'])}) s")
+@register("status_erm", f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.rules_sql('po_enriched', ['receipt_month'])}) s")
 def q_status_erm(spark, sf):
     df = FL.enrich_po(Tables(spark, sf))
-    return R.apply_rules(df, R.load_rules("spx_erm"), FL.ctx_for()).select(*STATUS_COLS)
+    return R.apply_rules(df, R.load_rules("receipt_month"), FL.ctx_for()).select(*STATUS_COLS)
 
 
-@register("status_stage1", f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.rules_sql('po_enriched', ['spx_stage1'])}) s")
+@register("status_stage1", f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.rules_sql('po_enriched', ['special_lines'])}) s")
 def q_status_stage1(spark, sf):
     df = FL.enrich_po(Tables(spark, sf))
-    return R.apply_rules(df, R.load_rules("spx_stage1"), FL.ctx_for()).select(*STATUS_COLS)
+    return R.apply_rules(df, R.load_rules("special_lines"), FL.ctx_for()).select(*STATUS_COLS)
 
 
 @register("format_error_status",
-          f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.format_error_sql(FL.rules_sql('po_enriched', ['spx_erm']))}) s")
+          f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.format_error_sql(FL.rules_sql('po_enriched', ['receipt_month']))}) s")
 def q_format_error(spark, sf):
     df = FL.enrich_po(Tables(spark, sf))
-    df = R.apply_rules(df, R.load_rules("spx_erm"), FL.ctx_for())
+    df = R.apply_rules(df, R.load_rules("receipt_month"), FL.ctx_for())
     return FL.format_error_status(df).select(*STATUS_COLS)
 
 

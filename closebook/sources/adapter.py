@@ -5,10 +5,10 @@ derived by deterministic arithmetic on keys and attributes (no random
 numbers).  The same derivations exist as SQL text in ``adapter_sql`` so the
 DuckDB oracle reads identical inputs.
 
-Line identity: ``(l_orderkey, l_linenumber)`` repeats in the generator, while
-``(l_orderkey, l_linenumber, l_partkey, l_suppkey)`` is unique, so the line key
-carries the item (part-supplier) and no window is needed to number lines —
-a hot document never lands in a single task here.
+Line identity: ``(l_orderkey, l_linenumber)`` repeats in the generator, also
+with part and supplier, so the line key carries part, supplier, ship date and
+quantity.  No window is needed to number lines: a hot document never lands in
+a single task here.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from closebook.functions.numbers import int_text, money
 from closebook.functions.periods import ym_text
 from closebook.sources.testdata import Tables
 
-# Fixed values of the synthetic chart of accounts (chosen here, not data).
-FA_ACCOUNT = "199999"
-MGMT_FEE_ACCOUNT = "520036"
+# Accounts of the synthetic chart, chosen here.
+FA_ACCOUNT = "171000"
+MGMT_FEE_ACCOUNT = "614100"
+# Fixed value: the account of a line without one.
 DEFAULT_GL = "666666"
 DEPARTMENTS = [
     "101 Operations", "102 Logistics", "203 Marketing", "204 Sales",
@@ -77,12 +78,13 @@ def _period_text(partkey: Column, ship_idx: Column) -> Column:
     )
 
 
+def _item_ref() -> Column:
+    return F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                       F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("bigint").cast("string"))
+
+
 def po_raw(t: Tables) -> DataFrame:
     """Raw purchase lines as an extract would deliver them (text ids/codes)."""
-    # Hash-partition lines by document up front: at scale this is the exchange
-    # the lineitem-orders join needs anyway (no extra shuffle), it co-locates
-    # every line of a document for the per-document steps, and it spreads
-    # work over all cores when an input file is one unsplittable row group.
     l = t.lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")
@@ -95,7 +97,7 @@ def po_raw(t: Tables) -> DataFrame:
     qty = F.col("l_quantity").cast("bigint")
     half = F.expr("cast(l_quantity as bigint) div 2")
     ship_idx = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    product = F.concat(F.lit("BR"), F.substring("p_brand", 7, 10))
+    product = F.concat(F.lit("BR"), F.regexp_replace("p_brand", "^.{6}", ""))
     price = money(F.col("p_retailprice"))
     return j.select(
         F.concat(F.lit("PO"), F.col("l_orderkey").cast("string")).alias("po_number"),
@@ -103,8 +105,7 @@ def po_raw(t: Tables) -> DataFrame:
         F.when(F.col("l_linestatus") == "O",
                F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")))
          .otherwise(F.col("l_linenumber").cast("string")).alias("line_raw"),
-        F.concat(F.col("l_partkey").cast("string"), F.lit("-"),
-                 F.col("l_suppkey").cast("string")).alias("item_ref"),
+        _item_ref().alias("item_ref"),
         _gl_raw(F.col("l_partkey")).alias("gl_raw"),
         product.alias("product_code"),
         F.col("s_name").alias("supplier"),
@@ -148,7 +149,7 @@ def clean_raw_columns(raw: DataFrame) -> DataFrame:
 
 def pr_to_po_line(pr_line: Column) -> Column:
     """PR line key → the PO line key of the same line (keys share the suffix)."""
-    return F.concat(F.lit("PO"), F.substring(pr_line, 3, 1 << 20))
+    return F.concat(F.lit("PO"), F.regexp_replace(pr_line, "^PR", ""))
 
 
 def po_lines(t: Tables) -> DataFrame:
@@ -158,8 +159,7 @@ def po_lines(t: Tables) -> DataFrame:
 
 def _line_key(prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.col("l_orderkey").cast("string"), F.lit("-"),
-                    F.col("l_linenumber").cast("string"), F.lit("-"),
-                    F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+                    F.col("l_linenumber").cast("string"), F.lit("-"), _item_ref())
 
 
 def month_start(run_month: int) -> Column:
