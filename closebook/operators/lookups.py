@@ -17,15 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_bounded(df: DataFrame, bound_rows: int, why: str) -> DataFrame:
-    """Broadcast hint for a side whose row count is bounded by construction
-    (e.g. a chart of accounts, a rule table).  ``bound_rows`` documents the
-    proven bound; beyond a small bound we do not hint and the planner decides."""
-    if bound_rows <= 100_000:
-        return F.broadcast(df)
-    return df
-
-
 def last_non_null(df: DataFrame, key: str, order: str, fields: Iterable[str]) -> DataFrame:
     """Per key, each field's value from the row with the greatest ``order``
     among rows where that field is not null ("last duplicate wins", nulls

@@ -75,7 +75,7 @@ class Ctx:
     doc_type: str = "PO"
     closing_month: int | None = None
     refs: dict = field(default_factory=dict)
-    fa_accounts: tuple = ("199999",)
+    fa_accounts: tuple = ("171000",)
     null_not_equals: bool = False
 
 
@@ -309,13 +309,12 @@ def _stages(rs: RuleSet, ctx: Ctx, status_col: str = "status"):
     return stages
 
 
-def _status_expr(rule_col: str, rules: list[Rule], status_in: str) -> Column:
-    """Current status decoded from the rule number (0 = status given on input)."""
-    r = F.col(rule_col)
-    expr = F.when(r == 0, F.col(status_in))
-    for x in rules:
-        expr = expr.when(r == x.no, F.lit(x.status))
-    return expr
+def _decoded(rule: Column, given: Column, texts: dict[int, str | None]) -> Column:
+    """The text of a rule number: ``given`` for 0, null for null.  An array
+    lookup names the rule number once, so that a filter on the result, pushed
+    through the stages, does not grow with the number of rules."""
+    slots = [F.lit(texts.get(no)).cast("string") for no in range(1, max(texts, default=0) + 1)]
+    return F.get(F.array(given.cast("string"), *slots), rule.cast("int"))
 
 
 def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status",
@@ -325,9 +324,7 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
     rules with remarks, the remark column).
 
     Each stage rewrites only the integer ``rule_col`` (0 = status given on
-    input, null = open); it references the previous stage more than once, so
-    the optimizer keeps stages as separate projections instead of inlining one
-    CASE into the next.  Status, note and remark are decoded once at the end.
+    input, null = open).  Status, note and remark are decoded once at the end.
     """
     ctx = Ctx(**{**ctx.__dict__, "refs": rs.refs or ctx.refs, "null_not_equals": rs.null_not_equals})
     status_in = "_status_in"
@@ -390,7 +387,7 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
                 expr = F.when(m, F.lit(r.no).cast("bigint")) if expr is None else expr.when(m, F.lit(r.no).cast("bigint"))
             new = F.coalesce(r_prev, expr)  # one reference: stages inline linearly
         else:
-            df = df.withColumn("_status_now", _status_expr(rule_col, active, status_in))
+            df = df.withColumn("_status_now", _decoded(r_prev, F.col(status_in), {x.no: x.status for x in active}))
             now = F.col("_status_now")
             hits = compiled(rules)
             if not hits:
@@ -406,10 +403,8 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
         df = df.withColumn(rule_col, new)
 
     r = F.col(rule_col)
-    status = _status_expr(rule_col, active, status_in)
-    note = F.when(r == 0, F.col(note_col) if note_col in df.columns else F.lit(None).cast("string"))
-    for x in active:
-        note = note.when(r == x.no, F.lit(x.note))
+    status = _decoded(r, F.col(status_in), {x.no: x.status for x in active})
+    note = _decoded(r, F.col(note_col) if note_col in df.columns else F.lit(None), {x.no: x.note for x in active})
     outs = {status_col: status, note_col: note}
     if remark_col:
         rem = F.when(r == 0, F.col(remark_in))
