@@ -156,6 +156,26 @@ def test_chat(spark):
     assert chat.parsed(text) == [("user", "ab"), ("assistant", "final")]
 
 
+def test_chat_long_conversation_leaves_in_rows(spark):
+    """No row and no task holds a whole long conversation."""
+    rows = [(c, i % 200 if i % 7 else None, ["user", "assistant"][i % 2], f"{i % 90} <|end|> \\ " + "é\n" * 400) for c in (7, None) for i in range(400)]
+    rows += [(9, 0, "user", "short")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_log(chat.events_of(conv)).cache()
+    parts = collections.Counter(r.conv_id for r in out.collect())
+    assert parts[7] > 3 and parts[None] > 3 and parts[9] == 1
+    assert max(len(r.formatted) for r in out.collect()) <= 2 * chat.CHUNK_CHARS
+    got = {r.conv_id: r for r in chat.read_back(out).collect()}
+    assert len(got) == 3
+    for c in (7, None, 9):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+        whole = "".join(r.formatted for r in sorted(out.collect(), key=lambda r: (r.part, r.piece)) if r.conv_id == c)
+        assert chat.parsed(whole) == [r[2:] for r in mine] and got[c].formatted_chars == len(whole)
+        turns, loss = "".join(f"{r[2]}\n{r[3]}\n" for r in mine), "".join(r[3] for r in mine if r[2] == "assistant")
+        assert got[c].n_turns == len(mine) and got[c].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_escape_round_trip():
     for t in ("", "\\", "<|", "[INST", "[/INST]<s>", "a\\<|end|>\nb", "<<SYS>>\\\\"):
         assert chat.unescape(chat.escape(t)) == t and not chat.CONTROL.search(chat.escape(t))
