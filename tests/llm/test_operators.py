@@ -300,6 +300,35 @@ def test_lm(docs, none):
     assert lm.score(docs.drop("lang"), path).count() == len(ROWS)
 
 
+def test_lm_attention_learns_from_all_texts(spark):
+    """Almost no text is in the sample, so what the model knows of order comes
+    from the passes over all texts, each symbol once a target."""
+    from pyspark.sql import functions as F
+
+    from closebook.llm.attention import Attention
+
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    cycle = ["stone", "river", "green", "tall", "bird", "sky", "run", "blue"]
+    rows = [(i, " ".join(cycle[(i + k) % 8] for k in range(400))) for i in range(1700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grp", F.lit(0)).repartition(3)
+    total = sum(len(t) for _, t in rows)
+    assert total > 3 << 20
+    counts = lm.word_counts(d, [0]).cache()
+    model = lm.trained(d, counts, path, 1, total)
+    encode, end = lm.subwords(path)
+    flat, offsets = lm.split(lm.pa.array([rows[3][1]]))
+    codes, distinct = lm.coded(flat)
+    y, _, starts = lm.stream(codes, offsets, *encode(distinct), end)
+    fresh = Attention(lm.subword_counts(counts, path))
+    assert model.score(y, starts).mean() > fresh.score(y, starts).mean() + 0.5
+    one, other = fresh.copy(), fresh.copy()
+    used = one.sweep(y, starts)
+    assert used["E"].sum() == len(y) and np.array_equal(fresh.p["E"], other.p["E"])
+    other.move(2.0 * one.moved(fresh, used))  # two tasks that took the same steps
+    assert all(np.allclose(one.p[k], other.p[k], atol=1e-4) for k in one.p)
+
+
 def test_lm_learns_the_groups(spark):
     """Texts of two labels with words of their own: a held-out text's own
     words tell its group, so it costs less than without labels."""
