@@ -26,7 +26,9 @@ a key; members then travel as rows of joins that adaptive execution may split.
 
 Defined results.  Null, empty or blank text: empty set, linked with nothing,
 its own component.  Fewer than ``width`` words: one shingle, the whole
-sequence.  Repeated rows: equal sets, linked.  Null ids: never the smallest.
+sequence.  Repeated rows: equal sets, linked.  Null ids: linked like others,
+never the smallest; a component without ids has a null name.  An id of several
+texts: each text is a document; components with the same lowest id share that name.
 Empty table: no rows.  Extra columns are ignored (``deduplicate`` keeps them).
 """
 
@@ -168,11 +170,11 @@ def combined(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key, sid, shared
 
 
-RAW = "bucket int, doc_id long, n int, sid long, sid2 long, sketch array<long>, keys binary, sids binary, done boolean"
-RAW_FIELDS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("sid2", pa.int64()),
+RAW = "bucket int, doc_id long, text_hash long, n int, sid long, sid2 long, sketch array<long>, keys binary, sids binary, done boolean"
+RAW_FIELDS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("sid2", pa.int64()),
                         ("sketch", pa.list_(pa.int64())), ("keys", pa.binary()), ("sids", pa.binary()), ("done", pa.bool_())])
-FOUND = "doc_id long, n int, sid long, sid2 long, sketch array<long>, key long"
-FOUND_FIELDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("sid2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("key", pa.int64())])
+FOUND = "doc_id long, text_hash long, n int, sid long, sid2 long, sketch array<long>, key long"
+FOUND_FIELDS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("sid2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("key", pa.int64())])
 
 
 def columns(fields: pa.Schema, rows: int, **given) -> pa.RecordBatch:
@@ -215,7 +217,7 @@ def sketched(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFra
             sid, sid2, words = set_figures(h, offsets)
             rows = np.arange(b.num_rows)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * 16), pa.array(signed(words).reshape(-1)))
-            yield columns(RAW_FIELDS, b.num_rows, bucket=(signed(sid) + rows) % buckets, doc_id=b.column("doc_id"), n=np.diff(offsets),
+            yield columns(RAW_FIELDS, b.num_rows, bucket=(signed(sid) + rows) % buckets, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n=np.diff(offsets),
                           sid=signed(sid), sid2=signed(sid2), sketch=flat)
             key, owner = block_keys(h, offsets, share)
             held.append((key, sid[owner]))
@@ -234,24 +236,24 @@ def sketched(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFra
         key = np.concatenate([key[shared], join("keys", done)])
         sid = np.concatenate([sid[shared], join("sids", done)])
         members = columns(FOUND_FIELDS, len(key), sid=signed(sid), key=signed(key))
-        own = docs_.select(["doc_id", "n", "sid", "sid2", "sketch"]).append_column("key", pa.nulls(docs_.num_rows, pa.int64()))
+        own = docs_.select(["doc_id", "text_hash", "n", "sid", "sid2", "sketch"]).append_column("key", pa.nulls(docs_.num_rows, pa.int64()))
         return pa.concat_tables([own.cast(FOUND_FIELDS), pa.Table.from_batches([members])])
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, RAW)
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, RAW)
     return stored(raw.groupBy("bucket").applyInArrow(meet, FOUND), "sketches")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFrame:
     """The pairs (a, b of class representatives) whose sets truly link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             h, offsets = shingle_sets(b.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(h)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi")
     s = stored(texts.mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
     both = (pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
@@ -304,17 +306,19 @@ def cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, share
     return m.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def clustered(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """doc_id, text_hash, n and root of every row of ``docs``; root names the
+    component and is null for empty sets.  Classes of equal sets go by the
+    lowest hash of their texts, so ids need not be there nor be unique."""
     found = sketched(docs, width, share)
-    rows = found.where("key IS NULL").select("doc_id", "n", "sid", "sid2")
-    classes = stored(found.where("key IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2", "n")
-                     .agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
+    rows = found.where("key IS NULL").select("doc_id", "text_hash", "n", "sid", "sid2")
+    classes = stored(found.where("key IS NULL AND n > 0").groupBy("sid", "sid2", "n")
+                     .agg(F.min("text_hash").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
     members = stored(found.where("key IS NOT NULL").select("key", "sid").distinct()
                      .join(classes.select("sid", "rep"), "sid").select("key", "rep"), "members")
     weight = members.groupBy("rep").agg(F.count(F.lit(1)).alias("keys"))
-    centre = (members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("keys", (-F.col("rep")).alias("low"))).alias("c"))
-              .select("key", (-F.col("c.low")).alias("centre")))
+    centre = (members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("keys", F.bitwise_not("rep").alias("low"))).alias("c"))
+              .select("key", F.bitwise_not("c.low").alias("centre")))
     stars = (members.join(centre, "key").where("rep <> centre")
              .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     tried = stored(possible(stars, classes, share), "pairs")
@@ -326,13 +330,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     r, c = rows.alias("r"), classes.select("sid", "sid2", "n", "rep").alias("c")
     on = (F.col("r.sid") == F.col("c.sid")) & (F.col("r.sid2") == F.col("c.sid2")) & (F.col("r.n") == F.col("c.n")) & (F.col("r.n") > 0)
     out = r.join(c, on, "left").join(labels, F.col("rep") == F.col("u"), "left")
-    return out.select("r.doc_id", F.col("r.n").cast("long").alias("n_shingles"), F.coalesce("root", "rep", "r.doc_id").alias("component_id"))
+    return out.select("r.doc_id", "r.text_hash", "r.n", F.coalesce("root", "rep").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    found = stored(clustered(docs, width, share), "clusters")
+    names = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    return found.join(names, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                                                    F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each component: the one of lowest id
-    (of rows repeated under that id, one); rows without an id stay, once a text."""
-    found = near_duplicates(docs, width, share)
-    first = found.where("doc_id = component_id OR n_shingles = 0 OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
+    (of that id's texts in it the one of lowest hash, once); a component
+    without ids keeps one text; rows of empty sets stay, once an id and text."""
+    found = stored(clustered(docs, width, share), "clusters")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    first = (found.where("root IS NOT NULL").groupBy("root").agg(best.alias("k")).select("k.doc_id", "k.text_hash")
+             .unionByName(found.where("root IS NULL").select("doc_id", "text_hash").distinct()).alias("k"))
+    kept = docs.alias("d").join(first, (F.xxhash64("d.text") == F.col("k.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

@@ -95,6 +95,21 @@ def test_near_duplicates(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_near_duplicates_without_ids_or_with_one_id_for_several_texts(spark):
+    """Links go through texts without an id, and by text, not by id."""
+    base = [f"w{k}" for k in range(120)]
+    step = lambda n: " ".join([f"x{k}" for k in range(n)] + base[n:])  # noqa: E731  near step(n + 6), not step(n + 12)
+    lone, other = " ".join(f"y{k}" for k in range(90)), " ".join(f"z{k}" for k in range(90))
+    rows = [(7, step(0)), (None, step(6)), (3, step(12)), (None, lone), (None, lone + " more"),
+            (5, other), (5, "nothing like it in any other row"), (9, other + " more"), (None, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    text = collections.Counter((r.doc_id, r.component_id) for r in parity_join.near_duplicates(d).collect())
+    assert text == collections.Counter([(7, 3), (None, 3), (3, 3), (None, None), (None, None), (5, 5), (5, 5), (9, 5), (None, None), (4, 4)])
+    kept = [tuple(r) for r in parity_join.deduplicate(d).collect()]
+    assert len(kept) == 6 and sum(t in (lone, lone + " more") for _, t in kept) == 1
+    assert {(3, step(12)), (5, other), (5, "nothing like it in any other row"), (None, None), (4, "")} <= set(kept)
+
+
 def test_sketch_bounds_the_difference_and_blocks_agree():
     g = np.random.default_rng(1)
     for n in (1, 2, 5, 7, 30, 200, 900):
