@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebook.llm import chat, decontam, langid, lm, mixing, parity_join, quality, sharding, tokenfile, toxicity
+from closebook.llm import (chat, decontam, langid, licenses, lm, merkle, mixing, negatives, parity_join, quality, sharding, tokenfile,
+                           toxicity)
 from closebook.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_back(tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+@register
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE |= {"op11_license_scan": licenses.oracle(), "op12_merkle_manifest": merkle.ORACLE, "op13_hard_negatives": negatives.ORACLE}
