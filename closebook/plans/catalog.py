@@ -10,6 +10,7 @@ _MODULES = [
     "closebook.plans.q_sources",
     "closebook.plans.q_lookups",
     "closebook.plans.q_domain",
+    "closebook.plans.q_verdicts",
 ]
 
 

@@ -168,26 +168,6 @@ def installment_limit(spark, sf):
                       F.when(F.col("doc_fa_amount") < CAPITAL_LIMIT, F.lit("below_capital_limit")).alias("limit_flag"))
 
 
-@register("deposit_status", f"""
-SELECT po_line, status,
-  CASE WHEN has_dep AND doc_max_erm > {RUN_MONTH} AND coalesce(status, '') <> 'posted' THEN 'incomplete_deposit'
-       ELSE status END AS deposit_status
-FROM (SELECT s.*, g.doc_max_erm, coalesce(g.has_dep, false) AS has_dep FROM po_status s
-      LEFT JOIN (SELECT po_number AS d, max(erm) AS doc_max_erm,
-                        bool_or(coalesce(regexp_matches(status, 'deposit'), false) AND coalesce(status, '') <> 'posted') AS has_dep
-                 FROM po_status GROUP BY po_number) g ON s.po_number = g.d) x""")
-def deposit_status(spark, sf):
-    """A-17: documents with an unposted deposit line: if the document's max ERM
-    is after the run month, its unposted lines become incomplete deposits."""
-    df = FL.ledger(Tables(spark, sf))
-    dep = F.coalesce(F.col("status").rlike("deposit"), F.lit(False)) & (F.coalesce(F.col("status"), F.lit("")) != "posted")
-    g = df.groupBy("po_number").agg(F.max("erm").alias("doc_max_erm"), F.bool_or(dep).alias("has_dep"))
-    out = df.select("po_line", "po_number", "status").join(g, "po_number", "left")
-    hit = F.coalesce(F.col("has_dep"), F.lit(False)) & (F.col("doc_max_erm") > RUN_MONTH) & \
-        (F.coalesce(F.col("status"), F.lit("")) != "posted")
-    return out.select("po_line", "status", F.when(hit, F.lit("incomplete_deposit")).otherwise(F.col("status")).alias("deposit_status"))
-
-
 @register("ledger_pivot", """
 SELECT account_code, accr_currency, CAST(sum(accr_amount) AS DOUBLE) AS accr_amount, count(*) AS lines
 FROM po_status WHERE accrue = 'Y' GROUP BY account_code, accr_currency""")

@@ -239,3 +239,26 @@ def closing_list(t: Tables) -> DataFrame:
         F.when(F.col("o_totalprice") > 200000, F.lit("V")).otherwise(F.lit("")).alias("done"),
         F.to_date("o_orderdate").alias("close_date"),
     ).where(F.col("line_spec").isNotNull())
+
+
+def _ship_month() -> Column:
+    return (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("int")
+
+
+def asset_lines(t: Tables) -> DataFrame:
+    """Lines of asset documents: instalments named in the text, a receipt month
+    that may be missing, remarks and statuses, some of them protected."""
+    l = t.lineitem
+    k = (F.col("l_partkey") + F.col("l_linenumber")) % 7
+    return l.select(
+        F.concat(F.lit("PO"), F.col("l_orderkey").cast("string")).alias("po_number"), _line_key("PO").alias("po_line"),
+        F.when(F.col("l_partkey") % 20 == 0, F.lit(FA_ACCOUNT)).otherwise((F.lit(520000) + F.col("l_partkey") % 20).cast("string")).alias("gl_number"),
+        F.when(k == 0, F.lit("設備 驗收款")).when(k == 1, F.lit("設備 驗收 保固款")).when(k == 2, F.lit("設備 訂金"))
+         .when((k == 3) & (F.col("l_suppkey") % 2 == 0), F.lit("設備 安裝款")).when(k < 6, F.lit("supplies")).alias("item_description"),
+        F.when(F.col("l_tax") != 0.0, _ship_month()).alias("erm"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 3 == 0), F.lit("PR 已完成"))
+         .when(F.col("l_returnflag") == "A", F.lit("未完成")).alias("proc_remark"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_discount") == 0.0), F.lit("posted"))
+         .when(F.col("l_discount") == 0.1, F.lit("to_check")).alias("status"),
+        F.when(F.col("l_discount") == 0.1, F.lit("by hand")).alias("status_note"),
+        F.lit("N").alias("accrue"))

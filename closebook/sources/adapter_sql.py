@@ -167,3 +167,16 @@ cte("closing_lines", r"""
          done
   FROM (SELECT po_number, done, unnest(string_split_regex(regexp_replace(line_spec, '^Line', ''), '[、,]')) AS part
         FROM closing_list WHERE line_spec <> 'ALL') p""")
+
+_ship_month = "CAST(year(l.l_shipdate) * 100 + month(l.l_shipdate) AS INTEGER)"
+_inst = "((l.l_partkey + l.l_linenumber) % 7)"
+cte("asset_lines", f"""
+  SELECT 'PO' || CAST(l.l_orderkey AS VARCHAR) AS po_number, {_line_key_sql('PO')} AS po_line,
+    CASE WHEN l.l_partkey % 20 = 0 THEN '171000' ELSE CAST(520000 + l.l_partkey % 20 AS VARCHAR) END AS gl_number,
+    CASE WHEN {_inst} = 0 THEN '設備 驗收款' WHEN {_inst} = 1 THEN '設備 驗收 保固款' WHEN {_inst} = 2 THEN '設備 訂金'
+      WHEN {_inst} = 3 AND l.l_suppkey % 2 = 0 THEN '設備 安裝款' WHEN {_inst} < 6 THEN 'supplies' END AS item_description,
+    CASE WHEN l.l_tax <> 0.0 THEN {_ship_month} END AS erm,
+    CASE WHEN l.l_returnflag = 'R' AND l.l_suppkey % 3 = 0 THEN 'PR 已完成' WHEN l.l_returnflag = 'A' THEN '未完成' END AS proc_remark,
+    CASE WHEN l.l_linestatus = 'F' AND l.l_discount = 0.0 THEN 'posted' WHEN l.l_discount = 0.1 THEN 'to_check' END AS status,
+    CASE WHEN l.l_discount = 0.1 THEN 'by hand' END AS status_note, 'N' AS accrue
+  FROM lineitem l""")
