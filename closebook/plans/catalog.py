@@ -11,6 +11,7 @@ _MODULES = [
     "closebook.plans.q_lookups",
     "closebook.plans.q_domain",
     "closebook.plans.q_verdicts",
+    "closebook.plans.q_acceptance",
 ]
 
 

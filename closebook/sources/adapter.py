@@ -262,3 +262,64 @@ def asset_lines(t: Tables) -> DataFrame:
          .when(F.col("l_discount") == 0.1, F.lit("to_check")).alias("status"),
         F.when(F.col("l_discount") == 0.1, F.lit("by hand")).alias("status_note"),
         F.lit("N").alias("accrue"))
+
+
+def _cabinet_index() -> Column:
+    return (F.col("l_partkey") + F.col("l_linenumber")) % 25
+
+
+def _accepted_on() -> Column:
+    """Acceptance dates as a sheet has them: two notations, missing, not a date."""
+    v = F.col("l_partkey") % 13
+    return (F.when(v == 0, F.lit(None).cast("string")).when(v == 1, F.lit("pending"))
+            .when(F.col("l_partkey") % 2 == 0, F.date_format("l_shipdate", "yyyy/MM/dd")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")))
+
+
+def _po_number() -> Column:
+    return F.concat(F.lit("PO"), F.col("l_orderkey").cast("string"))
+
+
+def acceptance_sheet(t: Tables, cabinets: tuple[str, ...]) -> DataFrame:
+    """Acceptance rows: one quantity column per cabinet type, a discount text."""
+    v, qty = F.col("l_suppkey") % 6, F.col("l_quantity").cast("bigint")
+    return t.lineitem.select(
+        _line_key("PO").alias("_ord"), _po_number().alias("po_number"),
+        F.when(v == 0, F.lit("8折驗收")).when(v == 1, F.lit("8.5折出貨")).when(v == 2, F.lit("9折")).alias("discount"),
+        _accepted_on().alias("accepted_on"),
+        *[F.when(_cabinet_index() == i, qty).alias(c) for i, c in enumerate(cabinets)])
+
+
+def kiosk_sheet(t: Tables) -> DataFrame:
+    """Accepted kiosks: one row each."""
+    return t.lineitem.where(F.col("l_partkey") % 9 == 0).select(_po_number().alias("po_number"), _accepted_on().alias("accepted_on"))
+
+
+def operations_sheet(t: Tables, cabinets: tuple[str, ...]) -> DataFrame:
+    """The operations sheet as text cells, some blank or broken references."""
+    cell = F.when(F.col("l_suppkey") % 10 == 0, F.lit("#REF!")).otherwise(F.col("l_quantity").cast("bigint").cast("string"))
+    return t.lineitem.select(
+        F.concat(F.lit(" "), _po_number(), F.when(F.col("l_linestatus") == "O", F.lit(".0 ")).otherwise(F.lit(""))).alias("po_line_text"),
+        _po_number().alias("po_number"), _accepted_on().alias("accepted_on"),
+        *[F.when(_cabinet_index() == i, cell).when(F.lit(i % 4 == 0), F.lit("")).alias(c) for i, c in enumerate(cabinets)])
+
+
+def cabinet_lines(t: Tables, cabinet_texts: list[str]) -> DataFrame:
+    """Lines of cabinet and kiosk orders with instalments in the text."""
+    k = F.col("l_partkey") % 3
+    texts = F.array(*[F.lit(x) for x in cabinet_texts])
+    cabinet = F.concat(
+        F.lit("1998/06 SVP_SPX 門市智取櫃工程SPX "), F.when(F.col("l_suppkey") % 11 == 0, F.lit("HD ")).otherwise(F.lit("")), F.lit("locker "),
+        F.get(texts, _cabinet_index().cast("int")),
+        F.when(k == 0, F.lit("第一期款項 #SP-C")).when(k == 1, F.lit(" 訂金 #SP-C")).otherwise(F.lit(" 30%款項 #SP-C")),
+        F.when(F.col("l_suppkey") % 8 == 7, F.lit(" 減價")).otherwise(F.lit("")))
+    return t.lineitem.select(
+        _po_number().alias("po_number"), _line_key("PO").alias("po_line"),
+        F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string")).alias("supplier"),
+        F.when(F.col("l_partkey") % 9 == 0, F.lit("1998/06 SVP_SPX 門市繳費機工程 payment machine #SP-C"))
+         .when(F.col("l_partkey") % 10 == 3, F.lit("門市裝修工程 第二期款項")).when(F.col("l_partkey") % 10 == 4, F.lit("辦公室裝修"))
+         .when(F.col("l_partkey") % 31 != 5, cabinet).alias("item_description"),
+        money(F.lit(100) + F.col("l_partkey") % 900).alias("unit_price"),
+        F.concat(F.lit("BR"), (F.col("l_partkey") % 25).cast("string")).alias("product_code"), F.lit("TWD").alias("currency"),
+        F.when(F.col("l_partkey") % 11 == 0, F.lit("")).when(F.col("l_partkey") % 11 != 1, (F.col("l_quantity").cast("bigint") + F.col("l_suppkey") % 2).cast("string"))
+         .alias("cumulative_qty"),
+        F.lit("N").alias("accrue"), F.lit(None).cast("string").alias("account_code"), F.lit(None).cast("double").alias("accr_amount"))

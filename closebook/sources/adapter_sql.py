@@ -180,3 +180,41 @@ cte("asset_lines", f"""
     CASE WHEN l.l_linestatus = 'F' AND l.l_discount = 0.0 THEN 'posted' WHEN l.l_discount = 0.1 THEN 'to_check' END AS status,
     CASE WHEN l.l_discount = 0.1 THEN 'by hand' END AS status_note, 'N' AS accrue
   FROM lineitem l""")
+
+_cab = "((l.l_partkey + l.l_linenumber) % 25)"
+_accepted = """CASE WHEN l.l_partkey % 13 = 0 THEN NULL WHEN l.l_partkey % 13 = 1 THEN 'pending'
+      WHEN l.l_partkey % 2 = 0 THEN strftime(l.l_shipdate, '%Y/%m/%d') ELSE strftime(l.l_shipdate, '%Y-%m-%d') END"""
+_po = "'PO' || CAST(l.l_orderkey AS VARCHAR)"
+
+
+def acceptance_ctes(cabinets: tuple[str, ...], cabinet_texts: list[str]) -> None:
+    """The acceptance and operations sheets and the cabinet lines."""
+    sums = ",\n    ".join(f'CASE WHEN {_cab} = {i} THEN {_qty} END AS "{c}"' for i, c in enumerate(cabinets))
+    cte("acceptance_sheet", f"""
+  SELECT {_line_key_sql('PO')} AS _ord, {_po} AS po_number,
+    CASE l.l_suppkey % 6 WHEN 0 THEN '8折驗收' WHEN 1 THEN '8.5折出貨' WHEN 2 THEN '9折' END AS discount,
+    {_accepted} AS accepted_on,
+    {sums}
+  FROM lineitem l""")
+    cte("kiosk_sheet", f"SELECT {_po} AS po_number, {_accepted} AS accepted_on FROM lineitem l WHERE l.l_partkey % 9 = 0")
+    cell = f"CASE WHEN l.l_suppkey % 10 = 0 THEN '#REF!' ELSE CAST({_qty} AS VARCHAR) END"
+    blank = " ELSE ''"
+    cells = ",\n    ".join(f"CASE WHEN {_cab} = {i} THEN {cell}{blank if i % 4 == 0 else ''} END AS \"{c}\""
+                           for i, c in enumerate(cabinets))
+    cte("operations_sheet", f"""
+  SELECT ' ' || {_po} || CASE WHEN l.l_linestatus = 'O' THEN '.0 ' ELSE '' END AS po_line_text, {_po} AS po_number, {_accepted} AS accepted_on,
+    {cells}
+  FROM lineitem l""")
+    texts = ", ".join(f"'{x}'" for x in cabinet_texts)
+    cte("cabinet_lines", f"""
+  SELECT {_po} AS po_number, {_line_key_sql('PO')} AS po_line, 'S' || CAST(l.l_suppkey % 7 AS VARCHAR) AS supplier,
+    CASE WHEN l.l_partkey % 9 = 0 THEN '1998/06 SVP_SPX 門市繳費機工程 payment machine #SP-C'
+      WHEN l.l_partkey % 10 = 3 THEN '門市裝修工程 第二期款項' WHEN l.l_partkey % 10 = 4 THEN '辦公室裝修'
+      WHEN l.l_partkey % 31 <> 5 THEN '1998/06 SVP_SPX 門市智取櫃工程SPX ' || CASE WHEN l.l_suppkey % 11 = 0 THEN 'HD ' ELSE '' END || 'locker '
+        || ([{texts}])[{_cab} + 1]
+        || CASE l.l_partkey % 3 WHEN 0 THEN '第一期款項 #SP-C' WHEN 1 THEN ' 訂金 #SP-C' ELSE ' 30%款項 #SP-C' END
+        || CASE WHEN l.l_suppkey % 8 = 7 THEN ' 減價' ELSE '' END END AS item_description,
+    CAST(100 + l.l_partkey % 900 AS DECIMAL(18,2)) AS unit_price, 'BR' || CAST(l.l_partkey % 25 AS VARCHAR) AS product_code, 'TWD' AS currency,
+    CASE WHEN l.l_partkey % 11 = 0 THEN '' WHEN l.l_partkey % 11 <> 1 THEN CAST({_qty} + l.l_suppkey % 2 AS VARCHAR) END AS cumulative_qty,
+    'N' AS accrue, CAST(NULL AS VARCHAR) AS account_code, CAST(NULL AS DOUBLE) AS accr_amount
+  FROM lineitem l""")
