@@ -12,6 +12,7 @@ _MODULES = [
     "closebook.plans.q_domain",
     "closebook.plans.q_verdicts",
     "closebook.plans.q_acceptance",
+    "closebook.plans.q_contracts",
 ]
 
 

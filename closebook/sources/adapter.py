@@ -323,3 +323,70 @@ def cabinet_lines(t: Tables, cabinet_texts: list[str]) -> DataFrame:
         F.when(F.col("l_partkey") % 11 == 0, F.lit("")).when(F.col("l_partkey") % 11 != 1, (F.col("l_quantity").cast("bigint") + F.col("l_suppkey") % 2).cast("string"))
          .alias("cumulative_qty"),
         F.lit("N").alias("accrue"), F.lit(None).cast("string").alias("account_code"), F.lit(None).cast("double").alias("accr_amount"))
+
+
+def _site_address(site: Column, pair: Column) -> Column:
+    """Address of a site; two sites share one."""
+    city = F.when(pair % 4 == 0, F.lit("台北市中山區")).when(pair % 4 == 1, F.lit("新北市板橋區")).when(pair % 4 == 2, F.lit("彰化縣員林市")).otherwise(F.lit("大安區"))
+    floor = F.when(site % 3 == 1, F.lit("1樓")).when(site % 3 == 2, F.lit("之2")).otherwise(F.lit(""))
+    return F.concat(city, F.lit("民生路"), pair.cast("string"), F.lit("號"), floor)
+
+
+def _address(col: str) -> Column:
+    return _site_address(F.col(col), F.expr(f"{col} div 2"))
+
+
+def _day(start: str, offset: Column, fmt: str) -> Column:
+    return F.date_format(F.date_add(F.lit(start).cast("date"), offset.cast("int")), fmt)
+
+
+def filing_list(t: Tables) -> DataFrame:
+    """Filed contracts by position: site, address, period text in many notations."""
+    k, p = F.col("p_partkey") % 8, F.col("p_partkey")
+    first, last = (lambda fmt: _day("1997-01-05", p % 300, fmt)), (lambda fmt: _day("1998-01-05", p % 900, fmt))
+    s, d = "yyyy/MM/dd", "yyyy-MM-dd"
+    period = (F.when(k == 0, F.concat(first(s), F.lit(" - "), last(s))).when(k == 1, F.concat(first(s), F.lit("~"), last(s)))
+              .when(k == 2, F.concat(first(s), F.lit("至"), last(s), F.lit(" +"))).when(k == 3, F.concat(first(s), F.lit("-"), last(s)))
+              .when(k == 4, F.concat(first(d), F.lit(" - "), last(d))).when(k == 5, F.concat(first(d), F.lit("~"), last(d))).when(k == 6, F.lit("TBD")))
+    return t.part.select(F.when(p % 19 == 0, F.lit(" ")).otherwise(p.cast("string")).alias("A"), _address("p_partkey").alias("B"), period.alias("C"))
+
+
+def renewal_list(t: Tables) -> DataFrame:
+    """Renewed contracts, with the columns named as in the sheet."""
+    p = F.col("p_partkey")
+    return t.part.where(p % 3 != 0).select(
+        p.cast("string").alias("門市店號"), F.when(p % 23 != 0, _address("p_partkey")).alias("詳細地址"),
+        _day("1996-06-01", p % 500, "yyyy/MM/dd").alias("第一期合約起始日"),
+        F.when(p % 7 == 0, F.lit("open")).otherwise(_day("1998-03-01", p % 1000, "yyyy-MM-dd")).alias("第二期合約截止日"))
+
+
+def renewal_grids(t: Tables) -> list[DataFrame]:
+    """Three sheets as rows of cells, trailing blanks cut off, a header row first."""
+    p = F.col("p_partkey")
+    start, end = _day("1996-06-01", p % 500, "yyyy/MM/dd"), _day("1998-03-01", p % 1000, "yyyy/MM/dd")
+
+    def grid(rows: DataFrame, cells: dict[int, Column], width: int, header: str) -> DataFrame:
+        filled = F.array(*[cells.get(i, F.lit("")) for i in range(width)])
+        short = F.slice(filled, 1, F.when(p % 5 == 0, width - 3).otherwise(width))
+        spark = rows.sparkSession
+        return rows.select((p + 1).alias("row"), short.alias("cells")).unionByName(
+            spark.createDataFrame([(0, [f"{header}{i}" for i in range(width)])], "row bigint, cells array<string>"))
+
+    code, addr = p.cast("string"), _address("p_partkey")
+    given = F.when(p % 6 == 0, F.lit("")).when(p % 6 == 3, F.lit("#N/A")).otherwise(start)
+    return [grid(t.part.where(p % 3 == 0), {0: code, 6: addr, 21: given, 24: end}, 25, "a"),
+            grid(t.part.where(p % 3 == 1), {0: code, 2: addr, 13: start, 14: end, 15: end, 16: start}, 17, "b"),
+            grid(t.part.where(p % 3 == 2), {0: code, 2: addr, 13: start, 14: start, 15: end, 16: end}, 17, "c")]
+
+
+def site_lines(t: Tables) -> DataFrame:
+    """Lines whose texts name a site, a cabinet or neither, in several layouts."""
+    k, p = (F.col("l_orderkey") + F.col("l_linenumber")) % 6, F.col("l_partkey")
+    addr = _address("l_partkey")
+    text = (F.when(k == 0, F.concat(F.lit("1998/06 SVP_SPX 門市裝修工程-店"), p.cast("string"), F.lit(" ("), addr, F.lit(") SPX store decoration 第一期款項 #SP-C")))
+            .when(k == 1, F.concat(F.lit("1998/06 SVP_SPX 冷氣裝修工程Air-con equipment("), addr, F.lit(") #SP-C")))
+            .when(k == 2, F.concat(F.lit("1998/06 SVP_SPX 門市智取櫃工程SPX locker "), F.when(p % 2 == 0, F.lit("XA")).otherwise(F.lit("控制主機")), F.lit(" 第二期款項 #SP-C")))
+            .when(k == 3, F.concat(F.lit("1998/06/01 - 1998/07/31SPX  HD locker "), F.when(p % 2 == 0, F.lit("控制主櫃")).otherwise(F.lit("B")), F.lit(" payment machine x")))
+            .when(k == 4, F.concat(F.lit("1998/06 SPX HD locker 安裝運費 ("), p.cast("string"), F.lit(") _SPX N-SOC more")))
+            .otherwise(F.concat(F.lit("\u3000 spx   misc\t"), p.cast("string"), F.lit(" \u3000"))))
+    return t.lineitem.select(_line_key("PO").alias("po_line"), F.when(p % 17 != 0, text).alias("item_description"))

@@ -218,3 +218,35 @@ def acceptance_ctes(cabinets: tuple[str, ...], cabinet_texts: list[str]) -> None
     CASE WHEN l.l_partkey % 11 = 0 THEN '' WHEN l.l_partkey % 11 <> 1 THEN CAST({_qty} + l.l_suppkey % 2 AS VARCHAR) END AS cumulative_qty,
     'N' AS accrue, CAST(NULL AS VARCHAR) AS account_code, CAST(NULL AS DOUBLE) AS accr_amount
   FROM lineitem l""")
+
+
+def address_sql(c: str) -> str:
+    return (f"(CASE ({c} // 2) % 4 WHEN 0 THEN '台北市中山區' WHEN 1 THEN '新北市板橋區' WHEN 2 THEN '彰化縣員林市' ELSE '大安區' END || '民生路' || "
+            f"CAST({c} // 2 AS VARCHAR) || '號' || CASE {c} % 3 WHEN 1 THEN '1樓' WHEN 2 THEN '之2' ELSE '' END)")
+
+
+def _day_sql(start: str, offset: str, fmt: str) -> str:
+    return f"strftime(DATE '{start}' + CAST({offset} AS INTEGER), '{fmt}')"
+
+
+_s, _d = "%Y/%m/%d", "%Y-%m-%d"
+_f1, _f2 = (lambda f: _day_sql("1997-01-05", "p_partkey % 300", f)), (lambda f: _day_sql("1998-01-05", "p_partkey % 900", f))
+cte("filing_list", f"""
+  SELECT CASE WHEN p_partkey % 19 = 0 THEN ' ' ELSE CAST(p_partkey AS VARCHAR) END AS A, {address_sql('p_partkey')} AS B,
+    CASE p_partkey % 8 WHEN 0 THEN {_f1(_s)} || ' - ' || {_f2(_s)} WHEN 1 THEN {_f1(_s)} || '~' || {_f2(_s)} WHEN 2 THEN {_f1(_s)} || '至' || {_f2(_s)} || ' +'
+      WHEN 3 THEN {_f1(_s)} || '-' || {_f2(_s)} WHEN 4 THEN {_f1(_d)} || ' - ' || {_f2(_d)} WHEN 5 THEN {_f1(_d)} || '~' || {_f2(_d)} WHEN 6 THEN 'TBD' END AS C
+  FROM part""")
+cte("renewal_list", f"""
+  SELECT CAST(p_partkey AS VARCHAR) AS site, CASE WHEN p_partkey % 23 <> 0 THEN {address_sql('p_partkey')} END AS addr,
+    {_day_sql('1996-06-01', 'p_partkey % 500', _s)} AS d1,
+    CASE WHEN p_partkey % 7 = 0 THEN 'open' ELSE {_day_sql('1998-03-01', 'p_partkey % 1000', _d)} END AS d2 FROM part WHERE p_partkey % 3 <> 0""")
+_k6 = "((l.l_orderkey + l.l_linenumber) % 6)"
+cte("site_lines", f"""
+  SELECT {_line_key_sql('PO')} AS po_line, CASE WHEN l.l_partkey % 17 <> 0 THEN CASE {_k6}
+    WHEN 0 THEN '1998/06 SVP_SPX 門市裝修工程-店' || l.l_partkey || ' (' || {address_sql('l.l_partkey')} || ') SPX store decoration 第一期款項 #SP-C'
+    WHEN 1 THEN '1998/06 SVP_SPX 冷氣裝修工程Air-con equipment(' || {address_sql('l.l_partkey')} || ') #SP-C'
+    WHEN 2 THEN '1998/06 SVP_SPX 門市智取櫃工程SPX locker ' || CASE WHEN l.l_partkey % 2 = 0 THEN 'XA' ELSE '控制主機' END || ' 第二期款項 #SP-C'
+    WHEN 3 THEN '1998/06/01 - 1998/07/31SPX  HD locker ' || CASE WHEN l.l_partkey % 2 = 0 THEN '控制主櫃' ELSE 'B' END || ' payment machine x'
+    WHEN 4 THEN '1998/06 SPX HD locker 安裝運費 (' || l.l_partkey || ') _SPX N-SOC more'
+    ELSE chr(12288) || ' spx   misc' || chr(9) || l.l_partkey || ' ' || chr(12288) END END AS item_description FROM lineitem l""")
+_r1, _r2 = _day_sql("1996-06-01", "p_partkey % 500", _s), _day_sql("1998-03-01", "p_partkey % 1000", _s)
