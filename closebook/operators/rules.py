@@ -64,6 +64,8 @@ class RuleSet:
     mode: str = "first"
     refs: dict = field(default_factory=dict)
     null_not_equals: bool = False
+    reset: bool = False  # statuses given on input don't count
+    writes: str = "status"  # or "remark": the set leaves the status alone
 
 
 @dataclass
@@ -111,7 +113,8 @@ def rules_from_dict(raw: dict, name: str = "inline") -> RuleSet:
         ))
     rules.sort(key=lambda r: r.priority)  # stable
     return RuleSet(name=meta.get("name", name), rules=rules, mode=meta.get("mode", "first"),
-                   refs=raw.get("refs", {}), null_not_equals=bool(meta.get("null_not_equals", False)))
+                   refs=raw.get("refs", {}), null_not_equals=bool(meta.get("null_not_equals", False)),
+                   reset=bool(meta.get("reset", False)), writes=meta.get("writes", "status"))
 
 
 def _ref(refs: dict, key: str):
@@ -190,6 +193,9 @@ def compile_check(check: dict, ctx: Ctx, status_col: str) -> Column | None:
         return _rlike(col, c["pattern"])
     if t == "not_contains":
         return ~_rlike(col, c["pattern"])
+    if t in ("starts_with", "not_starts_with"):  # null starts with nothing
+        hit = F.coalesce(F.startswith(col, F.lit(c["value"])), F.lit(False))
+        return hit if t == "starts_with" else ~hit
     if t in ("equals", "not_equals"):
         v = c["value"]
         if c.get("cast"):
@@ -280,14 +286,6 @@ def compile_check(check: dict, ctx: Ctx, status_col: str) -> Column | None:
     raise ValueError(f"unknown check type {t}")
 
 
-def compile_rule(rule: Rule, ctx: Ctx, status_col: str) -> Column | None:
-    masks = [m for m in (compile_check(ch, ctx, status_col) for ch in rule.checks) if m is not None]
-    if not masks:
-        return None
-    op = (lambda a, b: a | b) if rule.combine == "or" else (lambda a, b: a & b)
-    return reduce(op, masks)
-
-
 def _stages(rs: RuleSet, ctx: Ctx, status_col: str = "status"):
     """Split the active rules into CASE stages (see module doc): in first-match
     mode at override/unconditional rules, in last-match mode at rules that read
@@ -319,16 +317,21 @@ def _decoded(rule: Column, given: Column, texts: dict[int, str | None]) -> Colum
 
 def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status",
                 rule_col: str = "status_rule", note_col: str = "status_note",
-                remark_col: str | None = None) -> DataFrame:
+                remark_col: str | None = None, set_col: str | None = None) -> DataFrame:
     """Apply a rule set; writes status, rule number and note (and, for label
-    rules with remarks, the remark column).
+    rules with remarks, the remark column).  ``set_col`` gets the name of the set
+    whose rule decided, so that chained sets keep (set, rule) apart.  A set with
+    ``reset`` drops the statuses given on input first; one that ``writes`` the
+    remark only goes through ``apply_remarks``.
 
     Each stage rewrites only the integer ``rule_col`` (0 = status given on
     input, null = open).  Status, note and remark are decoded once at the end.
     """
     ctx = Ctx(**{**ctx.__dict__, "refs": rs.refs or ctx.refs, "null_not_equals": rs.null_not_equals})
+    if rs.writes == "remark":
+        return apply_remarks(df, rs, ctx, status_col, note_col, remark_col)
     status_in = "_status_in"
-    if status_col in df.columns:
+    if status_col in df.columns and not rs.reset:
         df = df.withColumn(status_in, F.when(~F.trim(F.col(status_col)).isin(*EMPTY_TEXTS), F.col(status_col)))
     else:
         df = df.withColumn(status_in, F.lit(None).cast("string"))
@@ -411,10 +414,34 @@ def apply_rules(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status"
         for x in active:
             rem = rem.when(r == x.no, F.lit(x.remark).cast("string") if x.has_remark else F.lit(None).cast("string"))
         outs[remark_col] = F.when(r.isNull(), F.col(remark_in)).otherwise(rem)
+    if set_col:
+        outs[set_col] = F.when(r > 0, F.lit(rs.name)).otherwise(F.col(set_col) if set_col in df.columns else F.lit(None).cast("string"))
     df = df.withColumns(outs).withColumn(rule_col, F.when(r == 0, F.col(rule_in)).otherwise(r))
     return df.drop(status_in, rule_in, "_status_now", *([remark_in] if remark_col else []))
 
 
+def apply_remarks(df: DataFrame, rs: RuleSet, ctx: Ctx, status_col: str = "status", note_col: str = "status_note",
+                  remark_col: str = "remark") -> DataFrame:
+    """A set that leaves the status alone: the last matching rule writes its
+    remark (null if it has none) and its note."""
+    rules = [r for r in rs.rules if ctx.doc_type in r.apply_to]
+    ctx = Ctx(**{**ctx.__dict__, "columns": {f.name: f.dataType.simpleString() for f in df.schema.fields}, "refs": rs.refs or ctx.refs,
+                 "null_not_equals": rs.null_not_equals})
+    case = None
+    for r in rules[::-1]:
+        masks = [m for m in (compile_check(ch, ctx, status_col) for ch in r.checks) if m is not None]
+        if masks:
+            hit, no = reduce((lambda a, b: a | b) if r.combine == "or" else (lambda a, b: a & b), masks), F.lit(r.no).cast("bigint")
+            case = F.when(hit, no) if case is None else case.when(hit, no)
+    if case is None:
+        return df
+    df = df.withColumn("_remark_rule", F.coalesce(case, F.lit(0).cast("bigint")))
+    no = F.col("_remark_rule")
+    given = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in (remark_col, note_col)}
+    return df.withColumns({remark_col: _decoded(no, given[remark_col], {r.no: r.remark for r in rules}),
+                           note_col: _decoded(no, given[note_col], {r.no: r.note for r in rules})}).drop("_remark_rule")
+
+
 # --------------------------------------------------------------------------
 # SQL twin (DuckDB dialect) for the oracle
 # --------------------------------------------------------------------------
@@ -444,6 +471,8 @@ def sql_check(check: dict, ctx: Ctx, status_col: str) -> str | None:
         return _sql_rlike(f, c["pattern"])
     if t == "not_contains":
         return f"NOT {_sql_rlike(f, c['pattern'])}"
+    if t in ("starts_with", "not_starts_with"):
+        return f"{'NOT ' if t[0] == 'n' else ''}coalesce(starts_with({f}, {_q(c['value'])}), false)"
     if t in ("equals", "not_equals"):
         v = c["value"]
         if c.get("cast"):
@@ -537,20 +566,20 @@ def sql_rule(rule: Rule, ctx: Ctx, status_col: str) -> str | None:
 
 def apply_rules_sql(source_sql: str, columns: dict, rs: RuleSet, ctx: Ctx,
                     status_col: str = "status", rule_col: str = "status_rule",
-                    note_col: str = "status_note", remark_col: str | None = None) -> str:
+                    note_col: str = "status_note", remark_col: str | None = None, set_col: str | None = None) -> str:
     """SQL text applying ``rs`` to the relation ``source_sql`` whose column
     types (Spark names) are ``columns``; output keeps all columns."""
     ctx = Ctx(**{**ctx.__dict__, "refs": rs.refs or ctx.refs, "null_not_equals": rs.null_not_equals})
     cols = dict(columns)
     adds = []
-    for c in (status_col, rule_col, note_col) + ((remark_col,) if remark_col else ()):
+    for c in (status_col, rule_col, note_col) + ((remark_col,) if remark_col else ()) + ((set_col,) if set_col else ()):
         if c not in cols:
             adds.append(f"CAST(NULL AS {'BIGINT' if c == rule_col else 'VARCHAR'}) AS {c}")
             cols[c] = "bigint" if c == rule_col else "string"
     ctx.columns = cols
     sql = f"SELECT *{', ' if adds else ''}{', '.join(adds)} FROM ({source_sql}) src0"
-    sql = (f"SELECT * REPLACE (CASE WHEN trim({status_col}) IN ('', 'nan') THEN NULL "
-           f"ELSE {status_col} END AS {status_col}) FROM ({sql}) src1")
+    given = "CAST(NULL AS VARCHAR)" if rs.reset else f"CASE WHEN trim({status_col}) IN ('', 'nan') THEN NULL ELSE {status_col} END"
+    sql = f"SELECT * REPLACE ({given} AS {status_col}) FROM ({sql}) src1"
     open_ = f"({status_col} IS NULL)"
     for si, (kind, rules) in enumerate(_stages(rs, ctx, status_col)):
         compiled = [(r, sql_rule(r, ctx, status_col)) for r in rules]
@@ -581,7 +610,11 @@ def apply_rules_sql(source_sql: str, columns: dict, rs: RuleSet, ctx: Ctx,
             f"{case(lambda r: _q(r.status), status_col)} AS {status_col}",
             f"{case(lambda r: _q(r.note), note_col)} AS {note_col}",
         ]
+        if rs.writes == "remark":
+            repl = [repl[2]]
         if remark_col:
-            repl.append(f"{case(lambda r: _q(r.remark) if r.remark is not None else ('NULL' if r.has_remark else remark_col), remark_col)} AS {remark_col}")
+            repl.append(f"{case(lambda r: 'NULL' if r.remark is None else _q(r.remark), remark_col)} AS {remark_col}")
+        if set_col:
+            repl.append(f"{case(lambda r: _q(rs.name), set_col)} AS {set_col}")
         sql = f"SELECT * REPLACE ({', '.join(repl)}) FROM ({sql}) stage{si}"
     return sql

@@ -4,6 +4,8 @@ not-equals, last-match labels)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from closebook.operators import rules as R
 from closebook.plans import flows as FL
 from closebook.plans.registry import register
@@ -57,13 +59,22 @@ CHECK_SETS = {
 }
 
 ENTITY_SETS = {
-    "status_sct": (["sct_erm"], "PO", {}),
-    "status_spt": (["spt_erm"], "PO", {}),
-    "status_pr_erm": (["receipt_month"], "PR", {}),
-    "status_procurement": (["procurement"], "PO", {"closing_month": 199804}),
+    "status_sct": (["two_stage_po"], "PO", {}),
+    "status_sct_pr": (["two_stage_pr"], "PR", {}),
+    "status_spt": (["unconditional_first"], "PO", {}),
+    "status_pr_erm": (["receipt_month_pr"], "PR", {}),
 }
 
 
+CLOSING_MONTH = 199804
+
+
+def procurement_ctx():
+    ctx = FL.ctx_for()
+    ctx.closing_month = CLOSING_MONTH
+    return ctx
+
+
 def _make(key: str, rule_sets, doc_type="PO", extra=None, remark=None):
     extra = extra or {}
     cols = COLS + ([remark] if remark else [])
@@ -86,4 +97,34 @@ for _k, _rs_ in CHECK_SETS.items():
     _make(_k, [_rs_])
 for _k, (_sets, _dt, _extra) in ENTITY_SETS.items():
     _make(_k, _sets, _dt, _extra)
-_make("status_labels", ["labels"], remark="label_remark")
+
+
+# The procurement ladder has to drop the statuses that the lines come with.
+_given = "SELECT *, status_prev AS status FROM po_enriched"
+
+
+@register("status_procurement", f"SELECT {', '.join(COLS)} FROM ({R.apply_rules_sql(_given, {**FL.ENRICHED_TYPES, 'status': 'string'}, R.load_rules('procurement'), procurement_ctx())}) r")
+def status_procurement(spark, sf):
+    """R-25, D-13: statuses reset, then the procurement ladder."""
+    df = FL.enrich_po(Tables(spark, sf)).withColumn("status", F.col("status_prev"))
+    return R.apply_rules(df, R.load_rules("procurement"), procurement_ctx()).select(*COLS)
+
+
+LABEL_SETS, REMARK = ("labels", "label_remarks"), "label_remark"
+
+
+def labelled(df, ctx):
+    """R-26: statuses by receipt month, the two label sets, then the accrue flag."""
+    df = R.apply_rules(df, R.load_rules("receipt_month"), ctx)
+    for rs in LABEL_SETS:
+        df = R.apply_rules(df, R.load_rules(rs), ctx, remark_col=REMARK)
+    return df.withColumn("accrue", F.when(F.coalesce(F.col("status").contains(LABEL_DONE), F.lit(False)), F.lit("Y")).otherwise(F.lit("N")))
+
+
+LABEL_DONE = "已完成"
+
+
+@register("status_labels", f"""SELECT {', '.join(COLS)}, {REMARK}, CASE WHEN coalesce(contains(status, '{LABEL_DONE}'), false) THEN 'Y' ELSE 'N' END AS accrue
+FROM ({FL.rules_sql(f"({FL.rules_sql('po_enriched', ['receipt_month'])}) e", LABEL_SETS, columns={**FL.ENRICHED_TYPES, 'status': 'string', 'status_rule': 'bigint', 'status_note': 'string'}, remark_col=REMARK)}) r""")
+def status_labels(spark, sf):
+    return labelled(FL.enrich_po(Tables(spark, sf)), FL.ctx_for()).select(*COLS, REMARK, "accrue")
