@@ -28,12 +28,6 @@ def shape_pivot(df: DataFrame, row: str, col: str, amount: str) -> DataFrame:
         F.col("total_amount").cast("double").alias("total_amount"), "n")
 
 
-def doc_broadcast(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
-    """W-01: per-document aggregates joined back onto every line."""
-    g = df.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(g, key, "left")
-
-
 def dedup_last(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """O-01: the whole row with the greatest ``order`` per key."""
     b = df.groupBy(key).agg(F.max(F.struct(F.col(order), *[F.col(v) for v in values])).alias("_b"))
@@ -54,20 +48,31 @@ def union_all(frames: list[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
 
 
-def profile_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A-09: one pass of count / null count / min / max per column, then
-    stacked to one row per column."""
+def profile_columns(df: DataFrame, texts: list[str], numbers: list[str], shares: dict[str, float], accuracy: int = 100_000) -> DataFrame:
+    """A-09: one row per column, by its type.
+
+    Numbers: mean, standard deviation, least, quantiles and greatest value as
+    numbers, in one pass; quantiles are values of the column with a rank error of
+    at most rows / ``accuracy``, in bounded memory.  Texts: distinct values,
+    least, greatest and most frequent one (ties: the least) from one count per
+    (column, value), combined before the shuffle.
+    """
+    given = df.select(*texts, *numbers)
     aggs = []
-    for c in cols:
-        s = F.col(c).cast("string")
-        aggs += [F.count(F.col(c)).alias(f"{c}__n"), F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
-                 F.min(s).alias(f"{c}__min"), F.max(s).alias(f"{c}__max")]
-    aggs.append(F.count(F.lit(1)).alias("__rows"))
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("non_null"),
-                     F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__min").alias("min_value"),
-                     F.col(f"{c}__max").alias("max_value")) for c in cols]
-    out = wide.select(F.col("__rows").alias("rows"), F.explode(F.array(*rows)).alias("r"))
-    return out.select("r.column", "r.non_null", "r.nulls",
-                      (F.col("r.nulls").cast("double") / F.col("rows").cast("double")).alias("null_ratio"),
-                      "r.min_value", "r.max_value")
+    for c in numbers:
+        x = F.col(c).cast("double")
+        aggs += [F.struct(F.lit(c).alias("column"), F.count(c).alias("non_null"), F.count_if(F.col(c).isNull()).alias("nulls"),
+                          F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("min_value"),
+                          F.percentile_approx(x, list(shares.values()), accuracy).alias("q"), F.max(x).alias("max_value")).alias(c)]
+    n = given.agg(*aggs).select(F.explode(F.array(*numbers)).alias("r")).select("r.*")
+    n = n.select("*", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(shares)]).drop("q")
+    long = given.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in texts])).alias("r"))
+    by = long.select("r.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("value").isNotNull()
+    most = F.min(F.when(known, F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))))
+    t = by.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count("value").alias("distinct_values"), F.min("value").alias("min_text"), F.max("value").alias("max_text"),
+        most.getField("v").alias("top"), (-most.getField("k")).alias("freq"))
+    out = t.unionByName(n, allowMissingColumns=True)
+    return out.withColumn("null_ratio", F.try_divide(F.col("nulls").cast("double"), (F.col("non_null") + F.col("nulls")).cast("double")))

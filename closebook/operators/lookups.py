@@ -43,14 +43,18 @@ def map_fields(lines: DataFrame, source: DataFrame, key: str, mappings: list[tup
     return out.drop(*[f"_m_{s}" for s in srcs])
 
 
+PERIOD = r"^\d{4}(0[1-9]|1[0-2])$"
+
+
 def asof_latest(lines: DataFrame, events: DataFrame, key: str, period_col: str, run_month: int,
-                values: list[str], period_alias: str) -> DataFrame:
-    """J-02/J-03: per key the event with the latest period ≤ run month
-    (unparsable period counts as 0), left-joined onto the lines."""
+                values: list[str], period_alias: str, order: str = "_ord") -> DataFrame:
+    """J-02/J-03: per key the event with the latest period ≤ run month, of
+    equal ones the last by ``order``, left-joined onto the lines.  A period is
+    YYYYMM; anything else counts as 0."""
     txt = F.col(period_col).cast("string")
-    p = F.coalesce(F.when(txt.rlike(r"^\d{1,9}$"), txt.cast("int")), F.lit(0))
+    p = F.coalesce(F.when(txt.rlike(PERIOD), txt.cast("int")), F.lit(0))
     ev = events.where(F.col(key).isNotNull()).withColumn("_p", p).where(F.col("_p") <= run_month)
-    best = (ev.groupBy(key).agg(F.max(F.struct("_p", *values)).alias("_b"))
+    best = (ev.groupBy(key).agg(F.max(F.struct("_p", order, *values)).alias("_b"))
             .select(key, F.col("_b._p").cast("bigint").alias(period_alias),
                     *[F.col(f"_b.{v}").alias(v) for v in values]))
     return lines.join(best, key, "left")
@@ -58,18 +62,20 @@ def asof_latest(lines: DataFrame, events: DataFrame, key: str, period_col: str,
 
 def remark_with_fallback(lines: DataFrame, remarks: DataFrame, primary: str, fallback: str,
                          remark: str, target: str, flag: str,
-                         fallback_to_primary: Column | None = None) -> DataFrame:
-    """J-08: remark by the primary line key, else by the fallback key; ``flag``
-    tells whether the line is in the remark list at all (J-09).
+                         fallback_to_primary: Column | None = None, order: str = "_ord") -> DataFrame:
+    """J-08: remark by the primary line key, else by the fallback key; of
+    several rows the last by ``order`` counts, also where its remark is null.
+    ``flag`` tells whether the line is in the remark list at all (J-09).
 
     When the fallback key maps one-to-one onto the primary key
     (``fallback_to_primary``), the fallback side is re-keyed before the join,
     so both lookups share the lines' existing partitioning on the primary key
     instead of shuffling every line a second time."""
+    last = F.max(F.struct(order, remark)).getField(remark)
     by_p = (remarks.where(F.col(primary).isNotNull()).groupBy(primary)
-            .agg(F.max(remark).alias("_r1"), F.lit(True).alias("_in1")))
+            .agg(last.alias("_r1"), F.lit(True).alias("_in1")))
     by_f = (remarks.where(F.col(fallback).isNotNull()).groupBy(fallback)
-            .agg(F.max(remark).alias("_r2"), F.lit(True).alias("_in2")))
+            .agg(last.alias("_r2"), F.lit(True).alias("_in2")))
     if fallback_to_primary is not None:
         by_f = by_f.select(fallback_to_primary.alias(primary), "_r2", "_in2")
         out = lines.join(by_p, primary, "left").join(by_f, primary, "left")

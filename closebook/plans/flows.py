@@ -72,11 +72,15 @@ def ctx_for(run_month: int = RUN_MONTH, doc_type: str = "PO", columns: dict | No
     return R.Ctx(run_month=run_month, columns=dict(columns or ENRICHED_TYPES), doc_type=doc_type)
 
 
+SET = "status_set"  # the rule set that decided; a rule number counts inside its set
+
+
 def format_error_status(df: DataFrame, status_col: str = "status", label: str = "format_error") -> DataFrame:
     """R-31: open rows whose description period cannot be parsed (the open
     set is recomputed after the rule sets)."""
     hit = F.col(status_col).isNull() & ~F.col("period_ok")
     return (df.withColumn("status_rule", F.when(hit, F.lit(900).cast("bigint")).otherwise(F.col("status_rule")))
+              .withColumn(SET, F.when(hit, F.lit("format_error")).otherwise(F.col(SET)))
               .withColumn("status_note", F.when(hit, F.lit("description period unparsable")).otherwise(F.col("status_note")))
               .withColumn(status_col, F.when(hit, F.lit(label)).otherwise(F.col(status_col))))
 
@@ -107,7 +111,7 @@ def po_status(t: Tables, run_month: int = RUN_MONTH, rule_sets=("special_lines",
     df = enrich_po(t, run_month)
     ctx = ctx_for(run_month)
     for rs in rule_sets:
-        df = R.apply_rules(df, R.load_rules(rs), ctx)
+        df = R.apply_rules(df, R.load_rules(rs), ctx, set_col=SET)
     return accrual_fields(format_error_status(df))
 
 
@@ -130,6 +134,9 @@ def _wp_sql() -> str:
     return f"SELECT po_line, {aggs} FROM prev_workpaper WHERE po_line IS NOT NULL GROUP BY po_line"
 
 
+cte("ap_periods", """
+  SELECT po_line, _ord, CASE WHEN regexp_full_match(period, '[0-9]{4}(0[1-9]|1[0-2])') THEN CAST(period AS BIGINT) ELSE 0 END AS _p,
+    coalesce(match_type, 'system_filled') AS mt, coalesce(voucher_no, 'system_filled') AS voucher FROM ap_invoice WHERE po_line IS NOT NULL""")
 cte("po_enriched", f"""
   SELECT pl.*,
     {O.erm_parse('pl.erm_text')} AS erm,
@@ -140,11 +147,8 @@ cte("po_enriched", f"""
     coalesce(p1._in1, p2._in2, false) AS in_procurement
   FROM po_lines pl
   LEFT JOIN ({_wp_sql()}) wp ON pl.po_line = wp.po_line
-  LEFT JOIN (SELECT po_line, max(_p) AS gl_date, arg_max(mt, _p) AS match_type
-             FROM (SELECT po_line, coalesce(TRY_CAST(period AS INTEGER), 0) AS _p,
-                          coalesce(match_type, 'system_filled') AS mt FROM ap_invoice
-                   WHERE po_line IS NOT NULL) x
-             WHERE _p <= {RUN_MONTH} GROUP BY po_line) ap ON pl.po_line = ap.po_line
+  LEFT JOIN (SELECT po_line, max(_p) AS gl_date, arg_max(mt, _p * 1000 + _ord) AS match_type
+             FROM ap_periods WHERE _p <= {RUN_MONTH} GROUP BY po_line) ap ON pl.po_line = ap.po_line
   LEFT JOIN (SELECT po_line, max(remark) AS _r1, true AS _in1 FROM procurement
              WHERE po_line IS NOT NULL GROUP BY po_line) p1 ON pl.po_line = p1.po_line
   LEFT JOIN (SELECT pr_line, max(remark) AS _r2, true AS _in2 FROM procurement
@@ -160,13 +164,14 @@ def rules_sql(source: str, rule_sets, columns: dict | None = None, run_month: in
         for k, v in (extra or {}).items():
             setattr(ctx, k, v)
         sql = R.apply_rules_sql(sql, cols, R.load_rules(rs), ctx, **kw)
-        cols.update({"status": "string", "status_rule": "bigint", "status_note": "string"})
+        cols.update({"status": "string", "status_rule": "bigint", "status_note": "string"} | ({kw["set_col"]: "string"} if "set_col" in kw else {}))
     return sql
 
 
 def format_error_sql(src: str) -> str:
     hit = "(status IS NULL AND NOT period_ok)"
     return (f"SELECT * REPLACE (CASE WHEN {hit} THEN CAST(900 AS BIGINT) ELSE status_rule END AS status_rule, "
+            f"CASE WHEN {hit} THEN 'format_error' ELSE {SET} END AS {SET}, "
             f"CASE WHEN {hit} THEN 'description period unparsable' ELSE status_note END AS status_note, "
             f"CASE WHEN {hit} THEN 'format_error' ELSE status END AS status) FROM ({src}) fe")
 
@@ -190,4 +195,4 @@ def accrual_sql(src: str, doc_type: str = "PO") -> str:
     FROM (SELECT *, CASE WHEN {flag} THEN 'Y' ELSE 'N' END AS accrue FROM ({src}) a0) a1"""
 
 
-cte("po_status", accrual_sql(format_error_sql(rules_sql("po_enriched", ("special_lines", "receipt_month")))))
+cte("po_status", accrual_sql(format_error_sql(rules_sql("po_enriched", ("special_lines", "receipt_month"), set_col=SET))))

@@ -71,11 +71,12 @@ def status_top5(spark, sf):
 
 
 @register("rule_hits", """
-SELECT status_rule, status, count(*) AS hits FROM po_status WHERE status_rule IS NOT NULL
-GROUP BY status_rule, status""")
+SELECT status_set, status_rule, status, count(*) AS hits FROM po_status WHERE status_rule IS NOT NULL
+GROUP BY status_set, status_rule, status""")
 def rule_hits(spark, sf):
+    """A-14: hits by rule set and rule; rule numbers repeat between sets."""
     df = FL.ledger(Tables(spark, sf)).where(F.col("status_rule").isNotNull())
-    return df.groupBy("status_rule", "status").agg(F.count(F.lit(1)).alias("hits"))
+    return df.groupBy("status_set", "status_rule", "status").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @register("group_stats", """
@@ -91,16 +92,28 @@ def group_stats(spark, sf):
     return g
 
 
-_PROFILE_COLS = ["gl_number", "product_code", "currency", "entry_qty", "erm_text", "supplier"]
+_TEXT_COLS = ["gl_number", "product_code", "currency", "erm_text", "supplier"]
+_NUMBER_COLS = ["entry_qty", "billed_qty", "unit_price"]
+_SHARES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-@register("profile_columns", " UNION ALL ".join(
-    f"""SELECT '{c}' AS column, count({c}) AS non_null, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
-      CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS null_ratio,
-      min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value FROM po_lines"""
-    for c in _PROFILE_COLS))
+def _text_profile_sql(c):
+    return f"""SELECT '{c}' AS column, (SELECT count({c}) FROM po_lines) AS non_null, (SELECT count(*) - count({c}) FROM po_lines) AS nulls,
+      count(*) AS distinct_values, min(v) AS min_text, max(v) AS max_text, arg_max(v, r) AS top, CAST(max(n) AS BIGINT) AS freq,
+      NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min_value, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75, NULL::DOUBLE AS max_value
+      FROM (SELECT *, n * 1000000 - row_number() OVER (ORDER BY v) AS r FROM (SELECT {c} AS v, count(*) AS n FROM po_lines WHERE {c} IS NOT NULL GROUP BY {c}) g) h"""
+
+
+def _number_profile_sql(c):
+    q = ", ".join(f"CAST(quantile_disc({c}, {p}) AS DOUBLE)" for p in _SHARES.values())
+    return f"""SELECT '{c}', count({c}), count(*) - count({c}), NULL::BIGINT, NULL, NULL, NULL, NULL::BIGINT, round(avg(CAST({c} AS DOUBLE)), 6),
+      round(stddev_samp(CAST({c} AS DOUBLE)), 6), CAST(min({c}) AS DOUBLE), {q}, CAST(max({c}) AS DOUBLE) FROM po_lines"""
+
+
+@register("profile_columns", "SELECT *, CAST(nulls AS DOUBLE) / (non_null + nulls) AS null_ratio FROM (" + " UNION ALL ".join(
+    [*map(_text_profile_sql, _TEXT_COLS), *map(_number_profile_sql, _NUMBER_COLS)]) + ") p")
 def profile_columns(spark, sf):
-    return AG.profile_columns(A.po_lines(Tables(spark, sf)), _PROFILE_COLS)
+    return AG.profile_columns(A.po_lines(Tables(spark, sf)), _TEXT_COLS, _NUMBER_COLS, _SHARES)
 
 
 @register("quality_report", """

@@ -14,14 +14,26 @@ from closebook.sources.adapter_sql import RUN_MONTH
 from closebook.sources.testdata import Tables
 
 
+def line_ranges(cl):
+    """F-06: 'Line1~3、5' → one row (po_number, lo, hi, done, new_pr) per part
+    of the spec.  Parts that are no number or span, and reversed spans, go;
+    specs that do not start with 'Line' (such as 'ALL') have none."""
+    part = F.explode(F.split(F.regexp_replace("line_spec", "^Line", ""), "[、,]"))
+    p = cl.where(F.col("line_spec").startswith("Line")).select("po_number", "done", "new_pr", part.alias("part")).withColumn("part", F.trim("part"))
+    ends = F.split("part", "~")
+    p = p.where(F.rlike("part", F.lit(r"^\d{1,18}(~\d{1,18})?$")))
+    p = p.select("po_number", "done", "new_pr", F.get(ends, F.lit(0)).cast("bigint").alias("lo"), F.get(ends, F.size(ends) - 1).cast("bigint").alias("hi"))
+    return p.where("lo <= hi")
+
+
+SPAN = 1000
+
+
 def expand_line_spec(cl):
-    """F-06: 'Line1~3、5' → one row per line number ('ALL' rows excluded)."""
-    parts = F.split(F.regexp_replace("line_spec", "^Line", ""), "[、,]")
-    nums = F.transform(parts, lambda p: F.when(p.contains("~"),
-                                               F.sequence(F.split(p, "~")[0].cast("bigint"), F.split(p, "~")[1].cast("bigint")))
-                       .otherwise(F.array(p.cast("bigint"))))
-    return (cl.where(F.col("line_spec") != "ALL")
-              .select("po_number", "done", F.explode(F.flatten(nums)).alias("line_no")))
+    """F-06: one row per line number; a long span is cut into blocks first, so
+    that no row holds it whole."""
+    blocks = line_ranges(cl).select("po_number", "done", "hi", F.explode(F.sequence("lo", "hi", F.lit(SPAN).cast("bigint"))).alias("b"))
+    return blocks.select("po_number", "done", F.explode(F.sequence("b", F.least(F.col("b") + SPAN - 1, F.col("hi")))).alias("line_no"))
 
 
 @register("expand_line_spec", "SELECT po_number, line_no, done FROM closing_lines")
@@ -35,23 +47,31 @@ SELECT pl.po_line,
        WHEN doc.po_number IS NOT NULL THEN (CASE WHEN nullif(trim(doc.done), '') IS NULL THEN 'to_close' ELSE 'closed' END)
   END AS closing_status
 FROM po_lines pl
-LEFT JOIN (SELECT po_number, max(done) AS done FROM closing_list WHERE line_spec = 'ALL' GROUP BY po_number) doc
+LEFT JOIN (SELECT po_number, max(done) AS done FROM closing_list WHERE line_spec = 'ALL' AND new_pr <> '' GROUP BY po_number) doc
   ON pl.po_number = doc.po_number
-LEFT JOIN (SELECT po_number, CAST(line_no AS VARCHAR) AS line_number, max(done) AS done FROM closing_lines
+LEFT JOIN (SELECT po_number, CAST(line_no AS VARCHAR) AS line_number, max(done) AS done FROM closing_lines WHERE new_pr <> ''
            GROUP BY po_number, line_no) ln ON pl.po_number = ln.po_number AND pl.line_number = ln.line_number""")
 def q_closing_status(spark, sf):
-    """J-10 (Q14: blank done flag = not done): whole-document entries, then
-    line entries; the line entry wins where both exist."""
+    """J-10: entries with a new request number only (Q14: blank done flag = not
+    done); whole-document entries, then line entries, which win where both exist."""
     t = Tables(spark, sf)
-    cl = A.closing_list(t)
-    st = lambda d: F.when(F.nullif(F.trim(d), F.lit("")).isNull(), F.lit("to_close")).otherwise(F.lit("closed"))
-    doc = cl.where(F.col("line_spec") == "ALL").groupBy("po_number").agg(F.max("done").alias("_dd"))
-    ln = (expand_line_spec(cl).groupBy("po_number", "line_no").agg(F.max("done").alias("_ld"))
-          .select("po_number", F.col("line_no").cast("string").alias("line_number"), "_ld", F.lit(True).alias("_lh")))
-    out = (A.po_lines(t).select("po_line", "po_number", "line_number")
-           .join(doc.withColumn("_dh", F.lit(True)), "po_number", "left")
-           .join(ln, ["po_number", "line_number"], "left"))
-    return out.select("po_line", F.when(F.col("_lh"), st(F.col("_ld"))).when(F.col("_dh"), st(F.col("_dd"))).alias("closing_status"))
+    return closing_status(A.po_lines(t).select("po_line", "po_number", "line_number"), A.closing_list(t)).select("po_line", "closing_status")
+
+
+def closing_status(lines, cl):
+    """``lines`` with closing_status.  Spans are compared as ranges inside their
+    document, so a span costs one row however long it is."""
+    renewed = cl.where(F.coalesce(F.trim("new_pr"), F.lit("")) != "")
+    st = lambda d: F.when(F.nullif(F.trim(d), F.lit("")).isNull(), F.lit("to_close")).otherwise(F.lit("closed"))
+    doc = renewed.where(F.col("line_spec") == "ALL").groupBy("po_number").agg(F.max(F.coalesce("done", F.lit(""))).alias("_dd"))
+    no = F.when(F.rlike("line_number", F.lit(r"^\d{1,18}$")), F.col("line_number").cast("bigint"))
+    spans = line_ranges(renewed).select(F.col("po_number").alias("_po"), "lo", "hi", F.coalesce("done", F.lit("")).alias("_done"))
+    keyed = lines.withColumn("_no", no)
+    hits = (keyed.select("po_number", "_no").distinct().join(spans, (F.col("po_number") == F.col("_po")) & F.col("_no").between(F.col("lo"), F.col("hi")))
+            .groupBy("po_number", "_no").agg(F.max("_done").alias("_ld")))
+    out = keyed.join(doc, "po_number", "left").join(hits, ["po_number", "_no"], "left")
+    status = F.when(F.col("_ld").isNotNull(), st(F.col("_ld"))).when(F.col("_dd").isNotNull(), st(F.col("_dd")))
+    return out.withColumn("closing_status", status).drop("_no", "_dd", "_ld")
 
 
 @register("closing_flag", """
@@ -75,7 +95,7 @@ def q_closing_clean(spark, sf):
     back = early.withColumnsRenamed({"PO Number": "po_number", "Line Number": "line_spec", "Done(V)": "done",
                                      "Date": "close_date"})
     u = back.unionByName(late)
-    return u.where(F.col("close_date").isNotNull()).withColumn("done", F.nullif(F.trim("done"), F.lit("")))
+    return u.where(F.col("close_date").isNotNull()).drop("new_pr").withColumn("done", F.nullif(F.trim("done"), F.lit("")))
 
 
 def _ref_accounts(t):

@@ -45,6 +45,16 @@ def q_prev_wp(spark, sf):
     return map_fields(A.po_lines(t).select("po_line"), A.prev_workpaper(t, RUN_MONTH), "po_line", FL.WP_MAPPINGS)
 
 
+@register("ap_voucher_asof", f"""
+SELECT pl.po_line, v.voucher AS voucher_no FROM po_lines pl
+LEFT JOIN (SELECT po_line, arg_max(voucher, _p * 1000 + _ord) AS voucher FROM ap_periods WHERE _p <= {RUN_MONTH} GROUP BY po_line) v ON v.po_line = pl.po_line""")
+def ap_voucher_asof(spark, sf):
+    """J-03: voucher of the latest invoice up to the run month."""
+    t = Tables(spark, sf)
+    inv = A.ap_invoice(t).withColumn("voucher_no", F.coalesce("voucher_no", F.lit("system_filled")))
+    return asof_latest(A.po_lines(t).select("po_line"), inv, "po_line", "period", RUN_MONTH, ["voucher_no"], "gl_date").select("po_line", "voucher_no")
+
+
 @register("ap_invoice_asof", "SELECT po_line, gl_date, match_type FROM po_enriched")
 def q_ap_asof(spark, sf):
     t = Tables(spark, sf)

@@ -204,6 +204,7 @@ def procurement(t: Tables) -> DataFrame:
         _line_key("PR").alias("pr_line"),
         F.when(k == 0, F.lit("已完成")).when(k == 1, F.lit("rent")).when(k == 2, F.lit("error"))
          .alias("remark"),
+        F.lit(1).cast("bigint").alias("_ord"),
     )
 
 
@@ -219,13 +220,14 @@ def ap_invoice(t: Tables) -> DataFrame:
         F.when((F.col("l_partkey") % 11 == 0) & (F.col("k") == 0), F.lit("N/A"))
          .otherwise(ym.cast("string")).alias("period"),
         F.when(F.col("l_tax") != 0.0, F.lit("ITEM_TO_RECEIPT")).alias("match_type"),
-        F.concat(F.lit("V"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                 F.col("l_linenumber").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("voucher_no"),
+        F.when(F.col("l_tax") != 0.02, F.concat(F.lit("V"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("l_linenumber").cast("string"), F.lit("-"), F.col("k").cast("string"))).alias("voucher_no"),
+        F.col("k").cast("bigint").alias("_ord"),
     )
 
 
 # Fixed values of the closing list: spec texts by order priority.
-CLOSING_SPECS = {"5-LOW": "ALL", "4-NOT SPECIFIED": "Line1~3", "3-MEDIUM": "Line1、3"}
+CLOSING_SPECS = {"5-LOW": "ALL", "4-NOT SPECIFIED": "Line1~3", "3-MEDIUM": "Line1、 3,x、5~4,4~3~2"}
 
 
 def closing_list(t: Tables) -> DataFrame:
@@ -238,6 +240,8 @@ def closing_list(t: Tables) -> DataFrame:
         spec.alias("line_spec"),
         F.when(F.col("o_totalprice") > 200000, F.lit("V")).otherwise(F.lit("")).alias("done"),
         F.to_date("o_orderdate").alias("close_date"),
+        F.when(F.col("o_custkey") % 5 == 1, F.lit("")).when(F.col("o_custkey") % 5 != 2, F.concat(F.lit("PR"), F.col("o_orderkey").cast("string")))
+         .alias("new_pr"),
     ).where(F.col("line_spec").isNotNull())
 
 

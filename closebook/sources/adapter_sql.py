@@ -150,23 +150,23 @@ cte("ap_invoice", f"""
       ELSE CAST(((year(l.l_shipdate) * 12 + month(l.l_shipdate) - 1 + l.k) // 12) * 100
                 + (year(l.l_shipdate) * 12 + month(l.l_shipdate) - 1 + l.k) % 12 + 1 AS VARCHAR) END AS period,
     CASE WHEN l.l_tax <> 0.0 THEN 'ITEM_TO_RECEIPT' END AS match_type,
-    'V' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' || CAST(l.k AS VARCHAR) AS voucher_no
+    CASE WHEN l.l_tax <> 0.02 THEN 'V' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' || CAST(l.k AS VARCHAR) END AS voucher_no,
+    CAST(l.k AS BIGINT) AS _ord
   FROM (SELECT *, unnest(generate_series(0, l_linenumber % 3)) AS k FROM lineitem WHERE l_returnflag <> 'N') l""")
 
 cte("closing_list", """
   SELECT 'PO' || CAST(o_orderkey AS VARCHAR) AS po_number,
-    CASE o_orderpriority WHEN '5-LOW' THEN 'ALL' WHEN '4-NOT SPECIFIED' THEN 'Line1~3' WHEN '3-MEDIUM' THEN 'Line1、3' END AS line_spec,
+    CASE o_orderpriority WHEN '5-LOW' THEN 'ALL' WHEN '4-NOT SPECIFIED' THEN 'Line1~3' WHEN '3-MEDIUM' THEN 'Line1、 3,x、5~4,4~3~2' END AS line_spec,
     CASE WHEN o_totalprice > 200000 THEN 'V' ELSE '' END AS done,
-    CAST(o_orderdate AS DATE) AS close_date
+    CAST(o_orderdate AS DATE) AS close_date,
+    CASE WHEN o_custkey % 5 = 1 THEN '' WHEN o_custkey % 5 <> 2 THEN 'PR' || CAST(o_orderkey AS VARCHAR) END AS new_pr
   FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM')""")
 
 cte("closing_lines", r"""
-  SELECT po_number, CAST(unnest(generate_series(
-           CAST(split_part(part, '~', 1) AS BIGINT),
-           CAST(CASE WHEN part LIKE '%~%' THEN split_part(part, '~', 2) ELSE part END AS BIGINT))) AS BIGINT) AS line_no,
-         done
-  FROM (SELECT po_number, done, unnest(string_split_regex(regexp_replace(line_spec, '^Line', ''), '[、,]')) AS part
-        FROM closing_list WHERE line_spec <> 'ALL') p""")
+  SELECT po_number, unnest(generate_series(CAST(split_part(part, '~', 1) AS BIGINT), CAST(split_part(part, '~', -1) AS BIGINT))) AS line_no, done, new_pr
+  FROM (SELECT po_number, done, new_pr, trim(unnest(string_split_regex(regexp_replace(line_spec, '^Line', ''), '[、,]'))) AS part
+        FROM closing_list WHERE starts_with(line_spec, 'Line')) p
+  WHERE regexp_full_match(part, '[0-9]{1,18}(~[0-9]{1,18})?')""")
 
 _ship_month = "CAST(year(l.l_shipdate) * 100 + month(l.l_shipdate) AS INTEGER)"
 _inst = "((l.l_partkey + l.l_linenumber) % 7)"
