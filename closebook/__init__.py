@@ -5,9 +5,4 @@ Subpackages:
   functions  scalar Column builders (text, periods, numbers, contracts)
   operators  rule compiler, lookups, aggregates, domain logic
   plans      composed monthly flows and the query registry
-  streaming  incremental landing of monthly extracts
 """
-
-from closebook.params import RunParams
-
-__all__ = ["RunParams"]

@@ -17,7 +17,6 @@ from closebook.operators.lookups import asof_latest, map_fields, remark_with_fal
 from closebook.plans import oracle_fns as O
 from closebook.sources import adapter as A
 from closebook.sources.adapter_sql import RUN_MONTH, cte
-from closebook.session import ensure_checkpoint_dir
 from closebook.sources.testdata import Tables
 
 # previous workpaper field mapping: (source, target, fill_na)
@@ -116,12 +115,9 @@ def po_status(t: Tables, run_month: int = RUN_MONTH, rule_sets=("special_lines",
 
 
 def ledger(t: Tables, run_month: int = RUN_MONTH) -> DataFrame:
-    """The month's classified ledger, written once to the shared checkpoint
-    folder (``spark.checkpoint.dir``) and read back: reports filter a plain
-    scan instead of re-planning the whole flow, and lineage is cut so a lost
-    executor recomputes from the written table, not from the raw inputs."""
-    ensure_checkpoint_dir(t.spark)
-    return po_status(t, run_month).checkpoint(eager=True)
+    """The month's classified ledger as a plan: a report that reads it once
+    computes the columns it needs and writes nothing in between."""
+    return po_status(t, run_month)
 
 
 # --------------------------------------------------------------------------

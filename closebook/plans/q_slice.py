@@ -85,10 +85,10 @@ def q_status_stage1(spark, sf):
 
 
 @register("format_error_status",
-          f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.format_error_sql(FL.rules_sql('po_enriched', ['receipt_month']))}) s")
+          f"SELECT {', '.join(STATUS_COLS)} FROM ({FL.format_error_sql(FL.rules_sql('po_enriched', ['receipt_month'], set_col=FL.SET))}) s")
 def q_format_error(spark, sf):
     df = FL.enrich_po(Tables(spark, sf))
-    df = R.apply_rules(df, R.load_rules("receipt_month"), FL.ctx_for())
+    df = R.apply_rules(df, R.load_rules("receipt_month"), FL.ctx_for(), set_col=FL.SET)
     return FL.format_error_status(df).select(*STATUS_COLS)
 
 

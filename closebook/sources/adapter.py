@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from closebook.functions.numbers import int_text, money
 from closebook.functions.periods import ym_text
-from closebook.sources.testdata import Tables
+from closebook.sources.testdata import Tables, spread
 
 # Accounts of the synthetic chart, chosen here.
 FA_ACCOUNT = "171000"
@@ -85,9 +85,9 @@ def _item_ref() -> Column:
 
 def po_raw(t: Tables) -> DataFrame:
     """Raw purchase lines as an extract would deliver them (text ids/codes)."""
-    l = t.lineitem.select(
+    l = spread(t.lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     s = t.supplier.select("s_suppkey", "s_name")

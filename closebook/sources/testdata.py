@@ -33,3 +33,12 @@ class Tables:
         if name not in self._cache:
             self._cache[name] = self.spark.read.parquet(self.path(name))
         return self._cache[name]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where its files are fewer than these: one
+    shuffle without a key, so a hot key is split too.  With as many files the
+    scan is left as it is."""
+    if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.hint("rebalance")
