@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from closebook.llm import (chat, decontam, langid, licenses, lm, merkle, mixing, negatives, parity_join, quality, sharding, tokenfile,
@@ -17,6 +16,12 @@ ORACLE: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers  # only the two queries that encode texts need it
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -40,7 +45,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @register
@@ -78,7 +83,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read_back(tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    return tokenfile.read_back(tokenfile.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 @register
