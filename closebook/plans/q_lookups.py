@@ -154,7 +154,7 @@ SELECT pl.po_line, pl.pr_line, pl.currency, p.pr_line AS pr_line_aux, p.remark
 FROM po_lines pl LEFT JOIN procurement p ON pl.po_line = p.po_line""")
 def q_join_generic(spark, sf):
     t = Tables(spark, sf)
-    pro = A.procurement(t).where(F.col("po_line").isNotNull())
+    pro = A.procurement(t).where(F.col("po_line").isNotNull()).drop("_ord")
     return join_generic(A.po_lines(t).select("po_line", "pr_line", "currency"), pro, ["po_line"], "left")
 
 
