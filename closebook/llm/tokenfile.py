@@ -36,6 +36,7 @@ RANK_BITS = 512
 SEGMENT = 1 << 19
 END_ID = 2
 CACHE = 600_000
+MAX_BROADCAST_PARTS = 1_000_000
 MAGIC = b"DAC1"
 
 
@@ -209,6 +210,17 @@ class Pieces:
         return out, counts + 1
 
 
+def worker_pieces(path: str) -> Pieces:
+    """The encoder of this worker process: its cache outlasts a task.  It hangs
+    on the interpreter, as functions sent by value get new globals in each task."""
+    import sys
+
+    held = sys.__dict__.setdefault("_token_pieces", {})
+    if path not in held:
+        held[path] = Pieces(path)
+    return held[path]
+
+
 SEGMENTS = "part int, segment int, first long, n_ids long, doc_ids binary, null_ids binary, n_tokens binary, codes binary"
 
 
@@ -225,7 +237,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "token-files") -> DataFra
 
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         part, number, first = TaskContext.get().partitionId(), 0, 0
-        pieces_ = Pieces(tokenizer)
+        pieces_ = worker_pieces(tokenizer)
         for b in pieces(batches, most=4 << 20):
             ids, n = pieces_.encode(b.column("text").to_pylist())
             keys = b.column("doc_id")
@@ -255,7 +267,10 @@ def part_starts(segments: DataFrame) -> DataFrame:
 
 def read_back(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    rows = segments.join(part_starts(segments), "part").select((F.col("start") + F.col("first")).alias("at"), "doc_ids", "null_ids", "n_tokens", "codes")
+    starts = stored(part_starts(segments), "part-starts")  # two numbers a part
+    if starts.count() <= MAX_BROADCAST_PARTS:  # else the segments shuffle
+        starts = F.broadcast(starts)
+    rows = segments.join(starts, "part").select((F.col("start") + F.col("first")).alias("at"), "doc_ids", "null_ids", "n_tokens", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
