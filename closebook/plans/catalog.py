@@ -13,6 +13,7 @@ _MODULES = [
     "closebook.plans.q_verdicts",
     "closebook.plans.q_acceptance",
     "closebook.plans.q_contracts",
+    "closebook.plans.q_ladders",
 ]
 
 

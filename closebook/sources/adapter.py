@@ -394,3 +394,41 @@ def site_lines(t: Tables) -> DataFrame:
             .when(k == 4, F.concat(F.lit("1998/06 SPX HD locker 安裝運費 ("), p.cast("string"), F.lit(") _SPX N-SOC more")))
             .otherwise(F.concat(F.lit("\u3000 spx   misc\t"), p.cast("string"), F.lit(" \u3000"))))
     return t.lineitem.select(_line_key("PO").alias("po_line"), F.when(p % 17 != 0, text).alias("item_description"))
+
+
+#: Texts of the ladder lines, by a rotating index; the month follows the first of them.
+LADDER_TEXTS = ["分潤合作 service", "Affiliate commission", "Shopee commission 品牌加碼", "AMS Commission", "Affiliate分潤合作 品牌加碼 Payroll",
+                "1998/6 office Rent", "1998-07 倉庫租金", "租賃押金 deposit", "找零金 deposit", "Kiosk machine", "locker 智能櫃", "月租 kiosk 1998/12",
+                "保證金 deposit", "vehicle lease", "supplies"]
+LADDER_STATUS = ["已完成", "部分收貨", "nan", "提早完成", "posted"]
+LADDER_DEPARTMENTS = ["101 Operations", "XA_OPS north", "XA_HQ", "unitops07 rent", "ab1 team", "305 IT"]
+
+
+def _pick(texts: list[str], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in texts]), index.cast("int"))
+
+
+def ladder_lines(t: Tables) -> DataFrame:
+    """Lines with the fields that the status and flag ladders read, most of
+    which may be missing."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    qty = F.col("l_quantity").cast("bigint")
+    gl = (F.when(p % 11 == 0, F.lit("199999")).when(p % 11 == 1, F.lit("622101")).when(p % 11 == 2, F.lit("650022")).when(p % 11 == 3, F.lit(FA_ACCOUNT))
+          .when(p % 11 != 4, (F.lit(520000) + p % 20).cast("string")))
+    return t.lineitem.select(
+        _line_key("PO").alias("po_line"), _pick(LADDER_TEXTS, (p + n) % 16).alias("item_description"), gl.alias("gl_number"),
+        F.when(p % 3 == 0, F.concat((s % 10).cast("string"), F.lit("00100"))).alias("account_code"),
+        F.concat(F.lit("BR"), (p % 25).cast("string")).alias("product_code"),
+        F.when(s % 5 == 0, F.lit("")).when(s % 5 == 1, F.lit("nan")).when(s % 5 == 2, F.lit("分潤")).when(s % 5 == 3, F.lit("check")).alias("fn_remark"),
+        _pick(LADDER_STATUS, (p + s) % 6).alias("status"),
+        F.when(p % 13 == 0, F.lit("HR PAYROLL run")).when(p % 13 < 6, F.lit("task")).alias("task"),
+        _pick(LADDER_DEPARTMENTS, s % 7).alias("department"), qty.alias("entry_qty"),
+        F.when(p % 7 == 0, F.lit(0).cast("bigint")).when(p % 7 == 1, qty).when(p % 7 != 2, F.expr("cast(l_quantity as bigint) * (l_partkey % 7) div 7")).alias("received_qty"),
+        F.when((p + s) % 17 == 0, F.lit("Y")).alias("cross_month"),
+        F.when(s % 9 == 0, F.lit("本月勿估")).when(s % 9 < 4, F.lit("ok")).alias("proc_remark"),
+        F.concat(F.lit("S"), (s % 12).cast("string")).alias("supplier"),
+        F.when(n % 4 == 0, F.lit("Validated")).when(n % 4 == 1, F.lit("open")).alias("line_status"),
+        F.when(p % 10 == 0, F.lit("later")).when(p % 10 == 1, F.lit("")).when(p % 10 != 2, F.date_format("l_shipdate", "yyyy-MM")).alias("receipt_month"),
+        F.when(F.col("l_linestatus") == "F", F.lit("1")).otherwise(F.lit("0")).alias("closed_for_invoice"),
+        F.when(p % 19 == 0, F.lit("Y")).alias("closed_mark"),
+        F.lit("N").alias("accrue"), F.lit(None).cast("string").alias("accrual_note"))

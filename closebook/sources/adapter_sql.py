@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from closebook.sources.adapter import DEPARTMENTS, TYPE_PHRASES
+from closebook.sources.adapter import DEPARTMENTS, LADDER_DEPARTMENTS, LADDER_STATUS, LADDER_TEXTS, TYPE_PHRASES
 
 CTES: dict[str, str] = {}
 
@@ -250,3 +250,29 @@ cte("site_lines", f"""
     WHEN 4 THEN '1998/06 SPX HD locker 安裝運費 (' || l.l_partkey || ') _SPX N-SOC more'
     ELSE chr(12288) || ' spx   misc' || chr(9) || l.l_partkey || ' ' || chr(12288) END END AS item_description FROM lineitem l""")
 _r1, _r2 = _day_sql("1996-06-01", "p_partkey % 500", _s), _day_sql("1998-03-01", "p_partkey % 1000", _s)
+
+
+def _pick_sql(texts: list[str], index: str) -> str:
+    return f"([{', '.join(repr(x) for x in texts)}])[({index}) + 1]"
+
+
+cte("ladder_lines", f"""
+  SELECT {_line_key_sql('PO')} AS po_line, {_pick_sql(LADDER_TEXTS, '(l.l_partkey + l.l_linenumber) % 16')} AS item_description,
+    CASE l.l_partkey % 11 WHEN 0 THEN '199999' WHEN 1 THEN '622101' WHEN 2 THEN '650022' WHEN 3 THEN '171000' WHEN 4 THEN NULL
+      ELSE CAST(520000 + l.l_partkey % 20 AS VARCHAR) END AS gl_number,
+    CASE WHEN l.l_partkey % 3 = 0 THEN CAST(l.l_suppkey % 10 AS VARCHAR) || '00100' END AS account_code,
+    'BR' || CAST(l.l_partkey % 25 AS VARCHAR) AS product_code,
+    CASE l.l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN '分潤' WHEN 3 THEN 'check' END AS fn_remark,
+    {_pick_sql(LADDER_STATUS, '(l.l_partkey + l.l_suppkey) % 6')} AS status,
+    CASE WHEN l.l_partkey % 13 = 0 THEN 'HR PAYROLL run' WHEN l.l_partkey % 13 < 6 THEN 'task' END AS task,
+    {_pick_sql(LADDER_DEPARTMENTS, 'l.l_suppkey % 7')} AS department, CAST(l.l_quantity AS BIGINT) AS entry_qty,
+    CASE l.l_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN CAST(l.l_quantity AS BIGINT) WHEN 2 THEN NULL
+      ELSE CAST(l.l_quantity AS BIGINT) * (l.l_partkey % 7) // 7 END AS received_qty,
+    CASE WHEN (l.l_partkey + l.l_suppkey) % 17 = 0 THEN 'Y' END AS cross_month,
+    CASE WHEN l.l_suppkey % 9 = 0 THEN '本月勿估' WHEN l.l_suppkey % 9 < 4 THEN 'ok' END AS proc_remark,
+    'S' || CAST(l.l_suppkey % 12 AS VARCHAR) AS supplier,
+    CASE l.l_linenumber % 4 WHEN 0 THEN 'Validated' WHEN 1 THEN 'open' END AS line_status,
+    CASE l.l_partkey % 10 WHEN 0 THEN 'later' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE strftime(l.l_shipdate, '%Y-%m') END AS receipt_month,
+    CASE WHEN l.l_linestatus = 'F' THEN '1' ELSE '0' END AS closed_for_invoice,
+    CASE WHEN l.l_partkey % 19 = 0 THEN 'Y' END AS closed_mark, 'N' AS accrue, CAST(NULL AS VARCHAR) AS accrual_note
+  FROM lineitem l""")
