@@ -1,4 +1,4 @@
-"""Status and flag ladders over a line's own columns (D-05 to D-07, L-02 to L-07).
+"""Status and flag ladders over a line's own columns (D-05 to D-07, L-01 to L-09).
 
 Each ladder is one projection: no join, no shuffle, no Python.  Columns are
 added or replaced; the other columns of a line stay.  The texts that a ladder
@@ -157,7 +157,7 @@ def complex_status(lines: DataFrame, run_month: int) -> DataFrame:
     marks = [(F.col("acceptance") == "已驗收", "已驗收完成", "條件4-已驗收"), (F.col("acceptance") == "待驗收", "待驗收", "條件4-待驗收"),
              (F.col("rent_type") == "OPS倉庫租金", "OPS倉租", "條件3-OPS倉租"), (F.col("deposit_mark") == "Y", "押金項目", "條件2-押金"),
              (F.col("closed_mark") == "Y", "已關單", "條件1-已關單")]
-    month = F.when(F.col("receipt_month").rlike("^[0-9]{4}-?[0-9]{2}$"), F.regexp_replace("receipt_month", "-", "").cast("int"))
+    month = _receipt_month()
     status = condition = None
     for cond, s, c in marks:
         status = F.when(cond, F.lit(s)) if status is None else status.when(cond, F.lit(s))
@@ -165,3 +165,51 @@ def complex_status(lines: DataFrame, run_month: int) -> DataFrame:
     status = (status.when(month.isNull(), F.lit("資訊不足")).when(month > run_month, F.lit("未到期"))
               .when(F.col("received_qty") >= F.col("entry_qty"), F.lit("已完成")).when(F.col("received_qty") > 0, F.lit("部分收貨")).otherwise(F.lit("待收貨")))
     return lines.withColumns({"status": status, "condition": condition.otherwise(F.lit("標準判斷"))})
+
+
+def _receipt_month() -> Column:
+    """YYYYMM or YYYY-MM as a number; anything else is null."""
+    return F.when(F.col("receipt_month").rlike("^[0-9]{4}-?[0-9]{2}$"), F.regexp_replace("receipt_month", "-", "").cast("int"))
+
+
+def completion_status(lines: DataFrame, run_month: int, cross: str = "跨月|Cross Month") -> DataFrame:
+    """L-01: closed or cancelled, then by receipt month and share received; the
+    early flag beats all; lines over the month end are marked by their text."""
+    month, got, want = _receipt_month(), F.col("received_qty"), F.col("entry_qty")
+    ratio = F.when(want > 0, got / want)
+    found = (F.when(F.col("early") == "Y", F.lit("提早完成")).when(month.isNull(), F.lit("資訊不足"))
+             .when(F.col("line_status").contains("Closed"), F.lit("已關單")).when(F.col("line_status").contains("Cancelled"), F.lit("已取消"))
+             .when((month > run_month) & (got >= want), F.lit("提早完成")).when(month > run_month, F.lit("未到期"))
+             .when(got >= want, F.lit("已完成")).when((got > 0) & (ratio >= 0.8), F.lit("接近完成")).when((got > 0) & (ratio >= 0.5), F.lit("部分收貨"))
+             .when(got > 0, F.lit("少量收貨")).otherwise(F.lit("待收貨")))
+    return lines.withColumns({"completion_status": found, "cross_month": F.when(has(F.col("item_description"), cross), F.lit("Y"))})
+
+
+#: The asset accounts and the limit from which an asset is capitalised.
+FA_ACCOUNTS, CAPITAL_LIMIT = ("151101", "151201", "199999"), 10000
+
+
+def ppe_class(lines: DataFrame, limit: int = CAPITAL_LIMIT) -> DataFrame:
+    """L-08: asset lines by account: capitalised from the limit on, their class,
+    and the accrual state that follows from the line's status."""
+    gl, text, amount, status = F.col("gl_number"), F.col("item_description"), F.col("entry_amount"), F.col("status")
+    fa = F.coalesce(gl.isin(*FA_ACCOUNTS), F.lit(False))
+    class_ = (F.when((gl == "151101") & has(text, "computer|電腦"), F.lit("IT設備")).when((gl == "151101") & has(text, "furniture|家具"), F.lit("辦公家具"))
+              .when(gl == "151101", F.lit("一般設備")).when(gl == "151201", F.lit("租賃改良")).otherwise(F.lit("押金及預付")))
+    done = status.isin("已完成", "已驗收完成")
+    state = (F.when(done & (amount >= limit), F.lit("資本化-預估")).when(done, F.lit("費用化-預估"))
+             .when(status == "待驗收", F.lit("待驗收-不預估")).otherwise(F.lit("未完成-不預估")))
+    return lines.withColumns({
+        "is_fa": F.when(fa, F.lit("Y")).otherwise(F.lit("N")), "capitalised": F.when(fa & (amount >= limit), F.lit("Y")).when(fa & (amount < limit), F.lit("N")),
+        "ppe_note": F.when(fa & (amount < limit), F.lit("金額未達資本化門檻-費用化")), "ppe_class": F.when(fa, class_), "fa_accrue": F.when(fa, state)})
+
+
+def accounting_adjust(lines: DataFrame, fa_accounts: tuple[str, ...], done: str = "已完成") -> DataFrame:
+    """L-09: completed lines are accrued on their own account; asset flag; the
+    department's first three characters, 000 for accounts with 1, 2 or 9."""
+    yes = F.coalesce(F.col("status") == done, F.lit(False))
+    account = F.when(yes, F.col("gl_number"))
+    return lines.withColumns({
+        "accrue": F.when(yes, F.lit("Y")).otherwise(F.lit("N")), "account_code": account,
+        "is_fa": F.when(F.coalesce(F.col("gl_number").isin(*fa_accounts), F.lit(False)), F.lit("Y")).otherwise(F.lit("N")),
+        "department_code": F.when(account.rlike("^[129]"), F.lit("000")).otherwise(F.substring("department", 1, 3))})

@@ -14,6 +14,7 @@ _MODULES = [
     "closebook.plans.q_acceptance",
     "closebook.plans.q_contracts",
     "closebook.plans.q_ladders",
+    "closebook.plans.q_worksheets",
 ]
 
 

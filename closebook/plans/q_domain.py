@@ -1,5 +1,5 @@
 """Keyword account, description category, month filter, reviewer mapping
-and legacy ladders (R-29, R-30, P-12, J-06, L-01, L-08)."""
+(R-29, R-30, P-12, J-06)."""
 
 from __future__ import annotations
 
@@ -95,36 +95,3 @@ def q_reviewer_map(spark, sf):
     t = Tables(spark, sf)
     return map_fields(A.po_lines(t).select("po_line"), A.prev_workpaper(t, RUN_MONTH), "po_line",
                       [("reviewer", "reviewer_fn", True), ("reviewer", "reviewer_proc", True)])
-
-
-@register("completion_status", """
-SELECT po_line, CASE WHEN closed_for_invoice = '1' AND billed_qty >= entry_qty THEN 'closed'
-  WHEN ratio >= 1 THEN 'completed' WHEN ratio >= 0.8 THEN 'mostly_done' WHEN ratio >= 0.5 THEN 'half_done'
-  WHEN ratio > 0 THEN 'started' ELSE 'not_started' END AS completion_status
-FROM (SELECT *, CASE WHEN entry_qty <> 0 THEN CAST(received_qty AS DOUBLE) / CAST(entry_qty AS DOUBLE) END AS ratio FROM po_lines) x""")
-def q_completion_status(spark, sf):
-    """L-01: status by completion ratio with a closed override."""
-    pl = A.po_lines(Tables(spark, sf))
-    ratio = F.when(F.col("entry_qty") != 0, F.col("received_qty").cast("double") / F.col("entry_qty").cast("double"))
-    st = (F.when((F.col("closed_for_invoice") == "1") & (F.col("billed_qty") >= F.col("entry_qty")), F.lit("closed"))
-          .when(ratio >= 1, F.lit("completed")).when(ratio >= 0.8, F.lit("mostly_done"))
-          .when(ratio >= 0.5, F.lit("half_done")).when(ratio > 0, F.lit("started")).otherwise(F.lit("not_started")))
-    return pl.select("po_line", st.alias("completion_status"))
-
-
-CAPITALISE_AT = 30000
-
-
-@register("ppe_class", f"""
-SELECT po_line, CASE WHEN gl_number = '171000' AND entry_amount >= {CAPITALISE_AT} THEN 'capitalise'
-  WHEN gl_number = '171000' THEN 'expense_small_asset' ELSE 'expense' END AS ppe_class,
-  CASE WHEN gl_number = '171000' AND received_qty = entry_qty THEN 'Y' ELSE 'N' END AS fa_accrue
-FROM po_lines""")
-def q_ppe_class(spark, sf):
-    """L-08: capitalise/expense by threshold, FA accrue state."""
-    pl = A.po_lines(Tables(spark, sf))
-    fa = F.col("gl_number") == "171000"
-    cls = F.when(fa & (F.col("entry_amount") >= CAPITALISE_AT), F.lit("capitalise")).when(fa, F.lit("expense_small_asset")) \
-        .otherwise(F.lit("expense"))
-    return pl.select("po_line", cls.alias("ppe_class"),
-                     F.when(fa & (F.col("received_qty") == F.col("entry_qty")), F.lit("Y")).otherwise(F.lit("N")).alias("fa_accrue"))

@@ -1,4 +1,4 @@
-"""Status and flag ladders (D-05 to D-07, L-02 to L-07)."""
+"""Status and flag ladders (D-05 to D-07, L-01 to L-09)."""
 
 from __future__ import annotations
 
@@ -143,3 +143,41 @@ def complex_status(spark, sf):
     out = L.deposit_type(_lines(spark, sf), DEPOSIT_ACCOUNT, DEPOSIT_WORDS)
     out = L.asset_type(L.rent_type(out, RUN_MONTH, RENT_ACCOUNT, OPS_DEPARTMENT), KIOSK_SUPPLIERS, LOCKER_SUPPLIERS)
     return L.complex_status(out, RUN_MONTH).select("po_line", "status", "condition")
+
+
+_MONTH = "CASE WHEN regexp_full_match(receipt_month, '[0-9]{4}-?[0-9]{2}') THEN TRY_CAST(replace(receipt_month, '-', '') AS INTEGER) END"
+
+
+@register("completion_status", f"""
+SELECT po_line, CASE WHEN early = 'Y' THEN '提早完成' WHEN mon IS NULL THEN '資訊不足' WHEN line_status LIKE '%Closed%' THEN '已關單'
+    WHEN line_status LIKE '%Cancelled%' THEN '已取消' WHEN mon > {RUN_MONTH} THEN CASE WHEN received_qty >= entry_qty THEN '提早完成' ELSE '未到期' END
+    WHEN received_qty >= entry_qty THEN '已完成' WHEN coalesce(received_qty, 0) <= 0 THEN '待收貨'
+    WHEN entry_qty > 0 AND CAST(received_qty AS DOUBLE) / entry_qty >= 0.8 THEN '接近完成'
+    WHEN entry_qty > 0 AND CAST(received_qty AS DOUBLE) / entry_qty >= 0.5 THEN '部分收貨' ELSE '少量收貨' END AS completion_status,
+  CASE WHEN {_m('item_description', '跨月|Cross Month')} THEN 'Y' END AS cross_month
+FROM (SELECT *, {_MONTH} AS mon FROM ladder_lines) x""")
+def completion_status(spark, sf):
+    """L-01: status by receipt month and share received."""
+    return L.completion_status(_lines(spark, sf).drop("cross_month"), RUN_MONTH).select("po_line", "completion_status", "cross_month")
+
+
+@register("ppe_class", f"""
+SELECT po_line, CASE WHEN fa THEN 'Y' ELSE 'N' END AS is_fa, CASE WHEN fa THEN CASE WHEN entry_amount >= {L.CAPITAL_LIMIT} THEN 'Y' ELSE 'N' END END AS capitalised,
+  CASE WHEN fa AND entry_amount < {L.CAPITAL_LIMIT} THEN '金額未達資本化門檻-費用化' END AS ppe_note,
+  CASE WHEN NOT fa THEN NULL WHEN gl_number = '151201' THEN '租賃改良' WHEN gl_number = '199999' THEN '押金及預付'
+    WHEN {_m('item_description', 'computer|電腦')} THEN 'IT設備' WHEN {_m('item_description', 'furniture|家具')} THEN '辦公家具' ELSE '一般設備' END AS ppe_class,
+  CASE WHEN NOT fa THEN NULL WHEN status IN ('已完成', '已驗收完成') THEN CASE WHEN entry_amount >= {L.CAPITAL_LIMIT} THEN '資本化-預估' ELSE '費用化-預估' END
+    WHEN status = '待驗收' THEN '待驗收-不預估' ELSE '未完成-不預估' END AS fa_accrue
+FROM (SELECT *, coalesce(gl_number IN ('151101', '151201', '199999'), false) AS fa FROM ladder_lines) x""")
+def ppe_class(spark, sf):
+    """L-08: capitalise or expense, class and accrual state of asset lines."""
+    return L.ppe_class(_lines(spark, sf)).select("po_line", "is_fa", "capitalised", "ppe_note", "ppe_class", "fa_accrue")
+
+
+@register("accounting_adjust", """
+SELECT po_line, accrue, account_code, is_fa, CASE WHEN left(account_code, 1) IN ('1', '2', '9') THEN '000' ELSE left(department, 3) END AS department_code
+FROM (SELECT po_line, department, CASE WHEN status = '已完成' THEN 'Y' ELSE 'N' END AS accrue, CASE WHEN status = '已完成' THEN gl_number END AS account_code,
+  CASE WHEN gl_number = '171000' THEN 'Y' ELSE 'N' END AS is_fa FROM ladder_lines) x""")
+def accounting_adjust(spark, sf):
+    """L-09: generic flag, account, asset flag and department."""
+    return L.accounting_adjust(_lines(spark, sf), (A.FA_ACCOUNT,)).select("po_line", "accrue", "account_code", "is_fa", "department_code")

@@ -398,9 +398,9 @@ def site_lines(t: Tables) -> DataFrame:
 
 #: Texts of the ladder lines, by a rotating index; the month follows the first of them.
 LADDER_TEXTS = ["分潤合作 service", "Affiliate commission", "Shopee commission 品牌加碼", "AMS Commission", "Affiliate分潤合作 品牌加碼 Payroll",
-                "1998/6 office Rent", "1998-07 倉庫租金", "租賃押金 deposit", "找零金 deposit", "Kiosk machine", "locker 智能櫃", "月租 kiosk 1998/12",
-                "保證金 deposit", "vehicle lease", "supplies"]
-LADDER_STATUS = ["已完成", "部分收貨", "nan", "提早完成", "posted"]
+                "1998/6 office Rent", "1998-07 倉庫租金", "租賃押金 deposit", "找零金 deposit", "Kiosk computer", "locker 智能櫃", "月租 kiosk 1998/12",
+                "保證金 furniture", "vehicle lease", "supplies Cross Month"]
+LADDER_STATUS = ["已完成", "部分收貨", "nan", "提早完成", "posted", "已驗收完成", "待驗收"]
 LADDER_DEPARTMENTS = ["101 Operations", "XA_OPS north", "XA_HQ", "unitops07 rent", "ab1 team", "305 IT"]
 
 
@@ -414,21 +414,50 @@ def ladder_lines(t: Tables) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     qty = F.col("l_quantity").cast("bigint")
     gl = (F.when(p % 11 == 0, F.lit("199999")).when(p % 11 == 1, F.lit("622101")).when(p % 11 == 2, F.lit("650022")).when(p % 11 == 3, F.lit(FA_ACCOUNT))
+          .when(p % 11 == 5, F.lit("151101")).when(p % 11 == 6, F.lit("151201"))
           .when(p % 11 != 4, (F.lit(520000) + p % 20).cast("string")))
     return t.lineitem.select(
         _line_key("PO").alias("po_line"), _pick(LADDER_TEXTS, (p + n) % 16).alias("item_description"), gl.alias("gl_number"),
         F.when(p % 3 == 0, F.concat((s % 10).cast("string"), F.lit("00100"))).alias("account_code"),
         F.concat(F.lit("BR"), (p % 25).cast("string")).alias("product_code"),
         F.when(s % 5 == 0, F.lit("")).when(s % 5 == 1, F.lit("nan")).when(s % 5 == 2, F.lit("分潤")).when(s % 5 == 3, F.lit("check")).alias("fn_remark"),
-        _pick(LADDER_STATUS, (p + s) % 6).alias("status"),
+        _pick(LADDER_STATUS, (p + s) % 8).alias("status"),
         F.when(p % 13 == 0, F.lit("HR PAYROLL run")).when(p % 13 < 6, F.lit("task")).alias("task"),
         _pick(LADDER_DEPARTMENTS, s % 7).alias("department"), qty.alias("entry_qty"),
         F.when(p % 7 == 0, F.lit(0).cast("bigint")).when(p % 7 == 1, qty).when(p % 7 != 2, F.expr("cast(l_quantity as bigint) * (l_partkey % 7) div 7")).alias("received_qty"),
         F.when((p + s) % 17 == 0, F.lit("Y")).alias("cross_month"),
         F.when(s % 9 == 0, F.lit("本月勿估")).when(s % 9 < 4, F.lit("ok")).alias("proc_remark"),
         F.concat(F.lit("S"), (s % 12).cast("string")).alias("supplier"),
-        F.when(n % 4 == 0, F.lit("Validated")).when(n % 4 == 1, F.lit("open")).alias("line_status"),
+        F.when(n % 4 == 0, F.lit("Validated")).when(n % 4 == 1, F.lit("open")).when(n % 4 == 2, F.lit("Closed by user"))
+         .when(p % 2 == 0, F.lit("Cancelled")).alias("line_status"),
         F.when(p % 10 == 0, F.lit("later")).when(p % 10 == 1, F.lit("")).when(p % 10 != 2, F.date_format("l_shipdate", "yyyy-MM")).alias("receipt_month"),
         F.when(F.col("l_linestatus") == "F", F.lit("1")).otherwise(F.lit("0")).alias("closed_for_invoice"),
-        F.when(p % 19 == 0, F.lit("Y")).alias("closed_mark"),
+        F.when(p % 19 == 0, F.lit("Y")).alias("closed_mark"), F.when((p + n) % 23 == 0, F.lit("Y")).alias("early"),
+        (qty * 500).alias("entry_amount"),
         F.lit("N").alias("accrue"), F.lit(None).cast("string").alias("accrual_note"))
+
+
+def prev_procurement(t: Tables) -> DataFrame:
+    """Last month's procurement sheet: document and line apart, no line key;
+    a second, later row for returned lines, whose remark may be missing."""
+    k = F.col("l_partkey") % 5
+    rows = t.lineitem.where(F.col("l_shipdate") < month_start(199806)).withColumn("_ord", F.explode(F.sequence(
+        F.lit(1), F.when(F.col("l_returnflag") == "R", F.lit(2)).otherwise(F.lit(1)))))
+    return rows.select(
+        _po_number().alias("po_number"), F.concat(F.lit("PR"), F.col("l_orderkey").cast("string")).alias("pr_number"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), _item_ref()).alias("line_number"),
+        F.when(k < 2, F.concat(F.lit("remark "), F.col("_ord").cast("string"))).when((k == 2) & (F.col("_ord") == 1), F.lit("held")).alias("remark"),
+        F.col("_ord").cast("bigint").alias("_ord"))
+
+
+def workpaper_sheets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The accrual sheets of this and the last month, with headers as typed."""
+    yes = F.when(F.col("l_returnflag") != "R", F.lit("Y")).otherwise(F.lit("N"))
+    text, account = F.concat(F.lit("item "), F.col("l_partkey").cast("string")), (F.lit(520000) + F.col("l_partkey") % 20).cast("string")
+    amount, now = F.col("l_quantity").cast("bigint") * 100, F.col("l_linestatus") == "O"
+    current = t.lineitem.where(now).select(text, _line_key("PO"), account, F.lit("TWD"), amount, yes).toDF(
+        "Item Description", "PO Line", "Account code", "Currency", "Accr. Amount", "是否估計入帳")
+    previous = t.lineitem.where(~now).select(text, _po_number(), F.concat(F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("-"), _item_ref()),
+                                             account, F.lit("USD"), amount, yes, F.lit("x")).toDF(
+        "Item Description", "PO#", "Line#", "Account Code", "Currency_C", "Amount-未稅", "是否需要估計入帳", "Note")
+    return current, previous

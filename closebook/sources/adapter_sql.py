@@ -258,12 +258,12 @@ def _pick_sql(texts: list[str], index: str) -> str:
 
 cte("ladder_lines", f"""
   SELECT {_line_key_sql('PO')} AS po_line, {_pick_sql(LADDER_TEXTS, '(l.l_partkey + l.l_linenumber) % 16')} AS item_description,
-    CASE l.l_partkey % 11 WHEN 0 THEN '199999' WHEN 1 THEN '622101' WHEN 2 THEN '650022' WHEN 3 THEN '171000' WHEN 4 THEN NULL
+    CASE l.l_partkey % 11 WHEN 0 THEN '199999' WHEN 1 THEN '622101' WHEN 2 THEN '650022' WHEN 3 THEN '171000' WHEN 4 THEN NULL WHEN 5 THEN '151101' WHEN 6 THEN '151201'
       ELSE CAST(520000 + l.l_partkey % 20 AS VARCHAR) END AS gl_number,
     CASE WHEN l.l_partkey % 3 = 0 THEN CAST(l.l_suppkey % 10 AS VARCHAR) || '00100' END AS account_code,
     'BR' || CAST(l.l_partkey % 25 AS VARCHAR) AS product_code,
     CASE l.l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN '分潤' WHEN 3 THEN 'check' END AS fn_remark,
-    {_pick_sql(LADDER_STATUS, '(l.l_partkey + l.l_suppkey) % 6')} AS status,
+    {_pick_sql(LADDER_STATUS, '(l.l_partkey + l.l_suppkey) % 8')} AS status,
     CASE WHEN l.l_partkey % 13 = 0 THEN 'HR PAYROLL run' WHEN l.l_partkey % 13 < 6 THEN 'task' END AS task,
     {_pick_sql(LADDER_DEPARTMENTS, 'l.l_suppkey % 7')} AS department, CAST(l.l_quantity AS BIGINT) AS entry_qty,
     CASE l.l_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN CAST(l.l_quantity AS BIGINT) WHEN 2 THEN NULL
@@ -271,8 +271,16 @@ cte("ladder_lines", f"""
     CASE WHEN (l.l_partkey + l.l_suppkey) % 17 = 0 THEN 'Y' END AS cross_month,
     CASE WHEN l.l_suppkey % 9 = 0 THEN '本月勿估' WHEN l.l_suppkey % 9 < 4 THEN 'ok' END AS proc_remark,
     'S' || CAST(l.l_suppkey % 12 AS VARCHAR) AS supplier,
-    CASE l.l_linenumber % 4 WHEN 0 THEN 'Validated' WHEN 1 THEN 'open' END AS line_status,
+    CASE WHEN l.l_linenumber % 4 = 0 THEN 'Validated' WHEN l.l_linenumber % 4 = 1 THEN 'open' WHEN l.l_linenumber % 4 = 2 THEN 'Closed by user'
+      WHEN l.l_partkey % 2 = 0 THEN 'Cancelled' END AS line_status,
     CASE l.l_partkey % 10 WHEN 0 THEN 'later' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE strftime(l.l_shipdate, '%Y-%m') END AS receipt_month,
     CASE WHEN l.l_linestatus = 'F' THEN '1' ELSE '0' END AS closed_for_invoice,
-    CASE WHEN l.l_partkey % 19 = 0 THEN 'Y' END AS closed_mark, 'N' AS accrue, CAST(NULL AS VARCHAR) AS accrual_note
+    CASE WHEN l.l_partkey % 19 = 0 THEN 'Y' END AS closed_mark, CASE WHEN (l.l_partkey + l.l_linenumber) % 23 = 0 THEN 'Y' END AS early,
+    CAST(l.l_quantity AS BIGINT) * 500 AS entry_amount, 'N' AS accrue, CAST(NULL AS VARCHAR) AS accrual_note
   FROM lineitem l""")
+
+cte("prev_procurement", f"""
+  SELECT {_line_key_sql('PO')} AS po_line, {_line_key_sql('PR')} AS pr_line, o.o AS _ord,
+    CASE WHEN l.l_partkey % 5 < 2 THEN 'remark ' || CAST(o.o AS VARCHAR) WHEN l.l_partkey % 5 = 2 AND o.o = 1 THEN 'held' END AS remark
+  FROM lineitem l JOIN (SELECT unnest([1, 2]) AS o) o ON o.o = 1 OR l.l_returnflag = 'R'
+  WHERE l.l_shipdate < {month_start_sql(RUN_MONTH)}""")

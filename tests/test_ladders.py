@@ -6,8 +6,8 @@ from closebook.operators import ladders as L
 from closebook.plans import q_ladders as Q
 
 FIELDS = ("item_description gl_number account_code product_code fn_remark status task department entry_qty received_qty cross_month "
-          "proc_remark supplier line_status receipt_month closed_for_invoice closed_mark accrue accrual_note").split()
-SCHEMA = ", ".join(f"{c} {'bigint' if c.endswith('_qty') else 'string'}" for c in FIELDS)
+          "proc_remark supplier line_status receipt_month closed_for_invoice closed_mark accrue accrual_note early entry_amount").split()
+SCHEMA = ", ".join(f"{c} {'bigint' if c.endswith(('_qty', '_amount')) else 'string'}" for c in FIELDS)
 
 
 @pytest.fixture
@@ -77,3 +77,29 @@ def test_asset_and_complex_status(one):
     assert one(merged, "status", gl_number="199999", closed_mark="Y") == ("押金項目",)
     assert one(merged, "status", "condition", receipt_month="1998-05", entry_qty=2, received_qty=1) == ("部分收貨", "標準判斷")
     assert one(merged, "status", receipt_month="199807") == ("未到期",) and one(merged, "status", receipt_month="x") == ("資訊不足",)
+
+
+def test_completion_and_asset_class(one):
+    run = lambda df: L.completion_status(df.drop("cross_month"), 199806)
+    done = lambda **k: one(run, "completion_status", **({"receipt_month": "1998-06", "entry_qty": 10} | k))[0]
+    assert done(receipt_month="1998-07", received_qty=10) == "提早完成" and done(receipt_month="199807", received_qty=9) == "未到期"
+    assert [done(received_qty=n) for n in (10, 8, 5, 1, 0, None)] == ["已完成", "接近完成", "部分收貨", "少量收貨", "待收貨", "待收貨"]
+    assert done(line_status="Closed", received_qty=10) == "已關單" and done(line_status="Closed", early="Y") == "提早完成"
+    assert done(receipt_month="x", line_status="Closed") == "資訊不足"
+    assert one(L.ppe_class, "capitalised", "ppe_class", "fa_accrue", gl_number="151101", item_description="Computer", entry_amount=10000,
+               status="已完成") == ("Y", "IT設備", "資本化-預估")
+    assert one(L.ppe_class, "capitalised", "ppe_class", "fa_accrue", gl_number="199999", entry_amount=9999) == ("N", "押金及預付", "未完成-不預估")
+    assert one(L.ppe_class, "is_fa", "ppe_class", gl_number="5") == ("N", None)
+    adjust = lambda df: L.accounting_adjust(df, ("171000",))
+    assert one(adjust, "accrue", "is_fa", "department_code", status="已完成", gl_number="171000", department="305 IT") == ("Y", "Y", "000")
+    assert one(adjust, "account_code", "department_code", gl_number="171000", department="305 IT") == (None, "305")
+
+
+def test_worksheet_headers(spark):
+    from closebook.operators import worksheets as W
+
+    df = spark.createDataFrame([("P1", "-2", 5, "Y"), ("P2", "-1", 6, "N")], ["PO#", "Line#", "Accr. Amount", "Use"])
+    out = W.prepare_worksheet(df, "use", "Y", ["po_line", "amount", "none"], {"amount": ["accr._amount"]}, {"po_line": ["po#", "line#"]})
+    assert out.columns == ["po_line", "amount"] and [tuple(r) for r in out.collect()] == [("P1-2", 5)]
+    with pytest.raises(ValueError):
+        W.prepare_worksheet(spark.createDataFrame([(1, 2)], ["PO Line", "po_line"]), "use", "Y", ["po_line"], {})
