@@ -43,6 +43,12 @@ def map_fields(lines: DataFrame, source: DataFrame, key: str, mappings: list[tup
     return out.drop(*[f"_m_{s}" for s in srcs])
 
 
+def copy_pr_columns(lines: DataFrame, columns: Iterable[str], suffix: str = "_pr") -> DataFrame:
+    """J-07: in a PR run each column that is there takes the value of its PR
+    twin, null included."""
+    return lines.withColumns({c: F.col(c + suffix) for c in columns if c in lines.columns})
+
+
 PERIOD = r"^\d{4}(0[1-9]|1[0-2])$"
 
 

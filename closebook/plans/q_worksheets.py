@@ -1,13 +1,15 @@
-"""Last month's procurement remarks and the variance sheets (J-15, P-10, P-11)."""
+"""Inputs of a run, last month's procurement remarks, the variance sheets (S-15, S-23, J-07, J-15, P-10, P-11)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from closebook.operators import worksheets as W
-from closebook.operators.lookups import map_fields
+from closebook.operators.lookups import copy_pr_columns, map_fields
 from closebook.plans.registry import register
 from closebook.sources import adapter as A
+from closebook.sources.adapter_sql import RUN_MONTH
+from closebook.sources.inputs import Input, load_inputs
 from closebook.sources.testdata import Tables
 
 
@@ -56,3 +58,31 @@ def variance_prepare(spark, sf):
     now = W.prepare_worksheet(now, "是否估計入帳", "Y", STANDARD, ALIASES).withColumn("sheet", F.lit("current"))
     before = W.prepare_worksheet(before, "是否需要估計入帳", "Y", STANDARD, ALIASES, FORMULAS).withColumn("sheet", F.lit("previous"))
     return W.lead_columns(now.unionByName(before), ["sheet", "amount", "currency_c", "absent"])
+
+
+@register("pr_remark_copy", """
+SELECT pl.pr_line, wp.r AS fn_remark, wp.r AS fn_remark_pr FROM po_lines pl LEFT JOIN (SELECT pr_line,
+  arg_max(fn_pr_remark, _ord) FILTER (WHERE fn_pr_remark IS NOT NULL) AS r FROM prev_workpaper GROUP BY pr_line) wp ON pl.pr_line = wp.pr_line""")
+def pr_remark_copy(spark, sf):
+    """J-07: last month's remarks by PR line; the PR remark takes the place of
+    the other."""
+    t = Tables(spark, sf)
+    out = map_fields(A.po_lines(t).select("pr_line"), A.prev_workpaper(t, RUN_MONTH), "pr_line",
+                     [("fn_remark", "fn_remark", True), ("fn_pr_remark", "fn_remark_pr", True)])
+    return copy_pr_columns(out, ["fn_remark", "absent"])
+
+
+@register("load_inputs", """
+SELECT 'lines' AS input, count(*) AS n FROM lineitem UNION ALL SELECT 'po', count(*) FROM orders UNION ALL SELECT 'products', count(*) FROM part""")
+def load_inputs_query(spark, sf):
+    """S-15, S-23: the inputs of a run that are there, with their rows; the PR
+    list is missing, which one of PO and PR may be."""
+    at = f"{sf.rstrip('/')}/{{}}.parquet".format
+    found = load_inputs(spark, {
+        "lines": Input(at("lineitem"), required=True, columns=("l_orderkey", "l_linenumber"), not_empty=True),
+        "po": Input(at("orders"), columns=("o_orderkey",)), "pr": Input(at("purchase_requests")), "products": Input(at("part"))}, one_of=("po", "pr"))
+    out = None
+    for name, df in found.items():
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("input"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
