@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.arrow_words import coded, mixed, pieces, split, word_hashes
+from closebook.llm.common import stored
 
 BITS = 21
 MAX_ROWS = 6_000
@@ -39,9 +40,9 @@ FOLDS = 5
 PARTS = range(3, 8)
 CATEGORIES = ("low_quality", "toxic")
 THRESHOLD = 0.5
+LEAST_Z = 4.0
 OUTER = ".,;:!?\"'()[]"
 SYMBOLS = "[#*$%&|<>]"
-TEXTS = 500
 
 
 def word_features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,42 +142,25 @@ class Chain:
         self.links = links
 
     @staticmethod
-    def select(pos: np.ndarray, n: np.ndarray, base: float, features: int) -> tuple[np.ndarray, np.ndarray]:
+    def select(feature: np.ndarray, pos: np.ndarray, n: np.ndarray, base: float, features: int) -> tuple[np.ndarray, np.ndarray]:
         """(sorted features, strength group of each): those that go with
-        positive texts most surely. pos, n: positive and all texts by feature."""
+        positive texts most surely.  feature: ascending; pos, n: positive and
+        all texts of each."""
         base = min(max(base, 1e-4), 1 - 1e-4)
         share = (pos + 2 * base) / (n + 2)
         odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
         z = (pos - n * base) / np.sqrt(n * base * (1 - base) + 1)
-        strong = np.flatnonzero((z > 4) & (odds > 1.5))
+        strong = np.flatnonzero((z > LEAST_Z) & (odds > 1.5))
         top = np.sort(strong[np.argsort(-z[strong], kind="stable")[:features]])
-        return top, np.clip(((odds[top] - 1.5) * 3).astype(int), 0, GROUPS - 1)
+        return feature[top], np.clip(((odds[top] - 1.5) * 3).astype(int), 0, GROUPS - 1)
 
     @classmethod
-    def fit(cls, texts: pa.Array, labels: np.ndarray, folds: np.ndarray, features: int = FEATURES) -> "Chain":
-        size, kinds = 1 << BITS, labels.shape[1]
-        n, pos = np.zeros((FOLDS, size), np.int32), np.zeros((kinds, FOLDS, size), np.int32)
-        for lo in range(0, len(texts), TEXTS):
-            rows, feats, _, _ = document_features(texts.slice(lo, TEXTS))
-            fold, y = folds[lo:lo + TEXTS][rows], labels[lo:lo + TEXTS][rows]
-            np.add.at(n, (fold, feats), 1)
-            for c in range(kinds):
-                np.add.at(pos[c], (fold[y[:, c]], feats[y[:, c]]), 1)
-        all_n, chosen = n.sum(0), {}
-        for c in range(kinds):
-            all_pos = pos[c].sum(0)
-            for f in [*range(FOLDS), None]:
-                out = folds == f if f is not None else np.zeros(len(folds), bool)
-                minus_n, minus_pos = (n[f], pos[c][f]) if f is not None else (0, 0)
-                base = labels[~out, c].mean() if (~out).any() else 0.0
-                chosen[c, f] = cls.select(all_pos - minus_pos, all_n - minus_n, base, features)
-        every = np.unique(np.concatenate([x[0] for x in chosen.values()]))
-        parts = [(lo, document_features(texts.slice(lo, TEXTS), every)) for lo in range(0, len(texts), TEXTS)]
-        rows = np.concatenate([lo + p[0] for lo, p in parts])
-        feats, count = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2))
-        dense = np.concatenate([p[3] for _, p in parts])
-        links, before = [], np.zeros((len(texts), 0))
-        for c in range(kinds):
+    def fit(cls, rows: np.ndarray, feats: np.ndarray, count: np.ndarray, dense: np.ndarray, labels: np.ndarray, folds: np.ndarray,
+            chosen: dict[tuple[int, int | None], tuple[np.ndarray, np.ndarray]]) -> "Chain":
+        """Links from (text, feature, count) triples of the chosen features;
+        ``chosen``: by category and the fold left out (None: none is)."""
+        links, before = [], np.zeros((len(labels), 0))
+        for c in range(labels.shape[1]):
             y = labels[:, c].astype(float)
             out = np.zeros(len(y))
             for f in [*range(FOLDS), None]:  # None: the final model
@@ -210,20 +194,93 @@ class Chain:
         return 1 / (1 + np.exp(-before))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain | None:
-    """A chain fitted on at most about ``max_rows`` labelled documents, taken
-    by a hash of the id; whole texts."""
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame | None:
+    """doc_id, fold, low, toxic, text_hash and whole text of at most about
+    ``max_rows`` labelled documents, taken by a hash of the id."""
     l = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic")
     n = l.count()
     if not n:
         return None
     l = l.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, max_rows / n) * (1 << 20))
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(l, "doc_id").orderBy("doc_id", "text").toArrow()
-    if not sample.num_rows:
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(l, "doc_id")
+    return stored(rows.select("doc_id", F.pmod("doc_id", F.lit(FOLDS)).cast("int").alias("fold"), (F.col("quality") == 0).alias("low"),
+                              (F.col("toxic") == 1).alias("toxic"), F.xxhash64("text").alias("text_hash"), "text"), "toxicity-sample")
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """feature, n0 … (texts of each fold), p0_0 … (positive texts of each
+    category and fold); one row a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            fold, low, toxic = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fold", "low", "toxic"))
+            rows, feats, _, _ = document_features(b.column("text"))
+            kind, n = np.unique(feats * (4 * FOLDS) + (fold * 4 + low * 2 + toxic)[rows], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind // (4 * FOLDS)), pa.array(kind // 4 % FOLDS), pa.array(kind // 2 % 2 == 1), pa.array(kind % 2 == 1), pa.array(n)],
+                                             ["feature", "fold", "low", "toxic", "n"])
+
+    each = sample.mapInArrow(run, "feature long, fold long, low boolean, toxic boolean, n long")
+    total = lambda use, name: F.coalesce(F.sum(F.when(use, F.col("n"))), F.lit(0)).alias(name)
+    return each.groupBy("feature").agg(
+        *[total(F.col("fold") == f, f"n{f}") for f in range(FOLDS)],
+        *[total((F.col("fold") == f) & F.col(name), f"p{c}_{f}") for c, name in enumerate(("low", "toxic")) for f in range(FOLDS)])
+
+
+def sample_features(sample: DataFrame, every: np.ndarray) -> DataFrame:
+    """A row a text of the sample: labels, fold, the wanted features with
+    their counts, the dense figures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows, feats, count, dense = document_features(b.column("text"), every)
+            ends = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (feats, count)]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dense.shape[1]), pa.array(dense.reshape(-1)))
+            names = ["doc_id", "text_hash", "fold", "low", "toxic"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *lists, flat], [*names, "feats", "counts", "dense"])
+
+    return sample.mapInArrow(run, "doc_id long, text_hash long, fold int, low boolean, toxic boolean, feats array<long>, counts array<long>, dense array<double>")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Chain | None:
+    """A chain fitted on at most about ``max_rows`` labelled documents; whole
+    texts.
+
+    Tasks read the texts and count features; the driver gets the counts of the
+    features that may be chosen (at most 2^``BITS`` rows) and, of every text,
+    the chosen features (at most ``features`` a category and fold), no texts.
+    """
+    sample = sampled(docs, labels, max_rows)
+    if sample is None:
+        return None
+    rows = [r.asDict() for r in sample.groupBy("fold", "low", "toxic").count().collect()]
+    if not rows:
         return None
-    y = np.stack([sample.column("quality").to_numpy() == 0, sample.column("toxic").to_numpy() == 1], 1)
-    folds = sample.column("doc_id").to_numpy() % FOLDS
-    return Chain.fit(sample.column("text").combine_chunks(), y, folds)
+    base = {}
+    for c, name in enumerate(("low", "toxic")):
+        for f in [*range(FOLDS), None]:
+            left = [r for r in rows if r["fold"] != f]
+            base[c, f] = sum(r["count"] * r[name] for r in left) / max(1, sum(r["count"] for r in left))
+    every_n, maybe = "+".join(f"n{g}" for g in range(FOLDS)), []
+    for (c, f), p in base.items():
+        less_n, less_p = (f"- n{f}", f"- p{c}_{f}") if f is not None else ("", "")
+        n, pos = f"({every_n} {less_n})", f"({'+'.join(f'p{c}_{g}' for g in range(FOLDS))} {less_p})"
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        maybe.append(f"{pos} - {n} * {p!r}D > {LEAST_Z - 0.1}D * sqrt({n} * {p * (1 - p)!r}D + 1)")
+    table = feature_counts(sample).where(" OR ".join(maybe)).orderBy("feature").toArrow()
+    column = lambda name: table.column(name).to_numpy().astype(np.int64)
+    feature, ns = column("feature"), [column(f"n{f}") for f in range(FOLDS)]
+    chosen = {}
+    for (c, f), p in base.items():
+        ps = [column(f"p{c}_{g}") for g in range(FOLDS)]
+        chosen[c, f] = Chain.select(feature, sum(ps) - (ps[f] if f is not None else 0), sum(ns) - (ns[f] if f is not None else 0), p, features)
+    every = np.unique(np.concatenate([x[0] for x in chosen.values()]))
+    got = sample_features(sample, every).orderBy("doc_id", "text_hash").toArrow().combine_chunks()
+    flat = lambda name: got.column(name).combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0)
+    sizes = pc.list_value_length(got.column("feats")).to_numpy()
+    y = np.stack([got.column(c).to_numpy().astype(bool) for c in ("low", "toxic")], 1)
+    return Chain.fit(np.repeat(np.arange(got.num_rows), sizes), flat("feats"), flat("counts").astype(float), flat("dense").reshape(got.num_rows, -1),
+                     y, got.column("fold").to_numpy(), chosen)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
