@@ -51,6 +51,7 @@ SKETCH_BITS = 1024
 BUCKET_BYTES = 8 << 20
 FLUSH = 400_000
 BLOCK_MEMBERS = 2048
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def band_edges(most: int = 1 << 40) -> np.ndarray:
@@ -253,6 +254,9 @@ def linked(docs: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFra
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(h)))
             yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "s"])
 
+    ids = stored(ids, "linked-ids")  # 8 bytes a row
+    if ids.count() <= MAX_BROADCAST_IDS:  # else the texts shuffle
+        ids = F.broadcast(ids)
     texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi")
     s = stored(texts.mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
     both = (pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
