@@ -10,6 +10,7 @@ from closebook.plans import flows as FL
 from closebook.plans.oracle_fns import q
 from closebook.plans.registry import register
 from closebook.sources import adapter as A
+from closebook.sources import io
 from closebook.sources.adapter_sql import RUN_MONTH
 from closebook.sources.testdata import Tables
 
@@ -58,7 +59,9 @@ FROM (SELECT s.*, g.doc_max_erm, coalesce(g.has_dep, false) AS has_dep FROM po_s
                         bool_or(coalesce(regexp_matches(item_description, '(?i){DEPOSIT}'), false) AND coalesce(status, '') <> 'posted') AS has_dep
                  FROM po_status GROUP BY po_number) g ON s.po_number = g.d) x""")
 def deposit_status(spark, sf):
+    """A-17; the lines and their documents' facts share a ledger that is computed once."""
     df = FL.ledger(Tables(spark, sf)).select("po_line", "po_number", "item_description", "erm", "status")
+    df = io.resume(spark, io.snapshot(df, spark, "deposits", "PO", RUN_MONTH, "ledger"))
     return D.deposit_status(df, RUN_MONTH, DEPOSIT).select("po_line", "status", "deposit_status")
 
 
