@@ -117,8 +117,11 @@ def lookup_months(lines: DataFrame, left: DataFrame, address: str = "extracted_a
         rows = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(address))
         return rows.agg(F.min_by(F.struct("months_diff"), order).getField("months_diff").alias(out))
 
-    return (lines.join(first("address", "_full"), address, "left").join(first("truncated_address", "_cut"), address, "left")
-            .withColumn("months_diff", F.coalesce("_full", "_cut")).drop("_full", "_cut"))
+    # Lines without an address meet nothing; dealt by their other values, no task gets them all.
+    dealt = lines.withColumn("_deal", F.when(F.col(address).isNull(), F.hash(*lines.columns)).otherwise(F.lit(0)))
+    for side in (first("address", "_full"), first("truncated_address", "_cut")):
+        dealt = dealt.join(side.withColumn("_deal", F.lit(0)), [address, "_deal"], "left")
+    return dealt.withColumn("months_diff", F.coalesce("_full", "_cut")).drop("_full", "_cut", "_deal")
 
 
 # -------------------------------------------------------------- sheet grids
