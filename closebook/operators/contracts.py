@@ -118,9 +118,10 @@ def lookup_months(lines: DataFrame, left: DataFrame, address: str = "extracted_a
         return rows.agg(F.min_by(F.struct("months_diff"), order).getField("months_diff").alias(out))
 
     # Lines without an address meet nothing; dealt by their other values, no task gets them all.
-    dealt = lines.withColumn("_deal", F.when(F.col(address).isNull(), F.hash(*lines.columns)).otherwise(F.lit(0)))
+    # All others go by the length, as a constant would not stay in the join's key.
+    dealt = lines.withColumn("_deal", F.when(F.col(address).isNull(), F.hash(*lines.columns)).otherwise(F.length(address)))
     for side in (first("address", "_full"), first("truncated_address", "_cut")):
-        dealt = dealt.join(side.withColumn("_deal", F.lit(0)), [address, "_deal"], "left")
+        dealt = dealt.join(side.withColumn("_deal", F.length(address)), [address, "_deal"], "left")
     return dealt.withColumn("months_diff", F.coalesce("_full", "_cut")).drop("_full", "_cut", "_deal")
 
 
