@@ -48,3 +48,31 @@ def test_discount_and_address(spark):
 
 def test_previous_month(spark):
     assert one(spark, P.previous_month, [202401, 202412], "int") == [202312, 202411]
+
+
+def test_day_and_month_texts_without_a_formatter_a_row(spark):
+    """Equal to the patterns' texts, years of three and five digits included; a
+    formatter is reached for those alone, and texts of a part are worked out before the join."""
+    from closebook.sources import adapter as A
+
+    days = [f"{y}-{m:02d}-{d:02d} 23:59:59.999999" for y in ("0999", "1000", "1969", "1998", "2000", "9999") for m, d in ((1, 1), (9, 9), (12, 31))]
+    df = spark.createDataFrame([(x,) for x in [*days, "+10000-01-01 00:00:00", None]], "x string").select(F.col("x").cast("timestamp_ntz").alias("x"))
+    for mine, pattern in ((A.day_text, "yyyyMMdd"), (A.month_text, "MMM-yy")):
+        got = df.select(mine(F.col("x")).alias("a"), F.date_format("x", pattern).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+
+    class T:  # a part without a name, one with, and none
+        lineitem = spark.sql("""SELECT 7L l_orderkey, k l_partkey, 2L l_suppkey, 3 l_linenumber, 5D l_quantity, 0D l_discount, 0D l_tax, 'N' l_returnflag,
+                                       'F' l_linestatus, timestamp_ntz'1998-06-30 12:00:00' l_shipdate FROM VALUES (1L), (4L), (9L) AS v(k)""")
+        orders = spark.sql("SELECT 7L o_orderkey, 1L o_custkey, 'F' o_orderstatus, '5-LOW' o_orderpriority")
+        part = spark.sql("""SELECT * FROM VALUES (1L, CAST(NULL AS string), 'Brand#12', 'NONE', 10.5D), (4L, 'red', CAST(NULL AS string), 'PROMO', 1D)
+                            AS v(p_partkey, p_name, p_brand, p_type, p_retailprice)""")
+        supplier = spark.sql("SELECT 2L s_suppkey, 's' s_name")
+
+    got = {r.item_ref.split("-")[0]: r for r in A.po_raw(T).collect()}
+    assert [got[k].item_description for k in "149"] == ["1998/06", "red deposit", ""]
+    assert [got[k].product_code for k in "149"] == ["BR12", None, None]
+    assert [got[k].project for k in "149"] == ["BR12 none", None, None]
+    assert got["1"].item_ref == "1-2-19980630-5" and got["1"].erm_text == "Jun-98"
+    plan = A.po_raw(T)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join") < plan.index("lower("), "lower-cased once a line"
