@@ -355,3 +355,28 @@ def test_lm_learns_the_groups(spark):
     total = lambda df: sum(r.score for r in lm.score(df, path).collect() if r.held_out)
     base = sum(r.base_score for r in lm.score(d, path).collect() if r.held_out)
     assert total(d) > total(d.drop("lang")) and total(d) > base
+
+
+def test_missing_words_are_encoded_end_to_end():
+    """New words reach the library as one text, not one by one, with the ids of whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [f"{a}{b}{c}" for a in ("zor", "émil", "語", "Qx", "don't", "3,5") for b in ("", "ple", "ß", "𝄞x") for c in ("", "ing", "-7", "<|s|>")]
+    texts = [" ".join(words), "\n".join(words) + " ", "a b 　c  d\te " + ", ".join(words) + ".", "", " lead", "x \n\ny", "</s> <s> é"]
+    pieces, asked = tokenfile.Pieces(path), []
+
+    class Watched:
+        def encode_batch_fast(self, batch, **kw):
+            asked.extend(batch)
+            return whole.encode_batch_fast(batch, **kw)
+
+    whole = pieces.tok
+    pieces.tok = Watched()
+    ids, n = pieces.encode(texts)
+    want = [[*e.ids, tokenfile.END_ID] for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    asked.clear()
+    pieces.forget()
+    ids, n = pieces.encode(texts[:1])
+    assert ids.tolist() == want[0] and len(asked) <= 3 < len(words)
