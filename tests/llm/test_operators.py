@@ -380,3 +380,22 @@ def test_missing_words_are_encoded_end_to_end():
     pieces.forget()
     ids, n = pieces.encode(texts[:1])
     assert ids.tolist() == want[0] and len(asked) <= 3 < len(words)
+
+
+def test_texts_with_uneven_white_space_are_cut_into_words():
+    """Whatever stands around a word, the parts are short and the ids those of the whole text."""
+    import public_tokenizers
+
+    pieces, g = tokenfile.Pieces(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    odd = [" ", " ", "\n", "\t", "\r", "\x1c", "\x00", "\x85", "\xa0", " ", "　", "a", "The", "é", "ß", "×", "à", "語", "あ", "​", "𝄞", "́",
+           "12", ",", ".", "'s", "'", "-", "<|endoftext|>"]
+    texts = ["".join(g.choice(odd) for _ in range(g.randint(0, 30))) for _ in range(4000)] + [None, ""]
+    ids, n = pieces.encode(texts)
+    want = [[*e.ids, tokenfile.END_ID] for e in pieces.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    pieces.forget()
+    pieces.encode(["stone  river, green \n tall.  bird " * 50])
+    assert max(map(len, pieces.cache)) < 20 and len(pieces.cache) < 12
+    sliced = tokenfile.pa.array(["left out", None, "one, two\n\nthree", ""]).slice(1)
+    parts, count = tokenfile.parts_of(sliced)
+    assert parts.to_pylist() == [b"one", b",", b" two", b"\n\nthree"] and count.tolist() == [0, 4, 0]
