@@ -399,3 +399,48 @@ def test_texts_with_uneven_white_space_are_cut_into_words():
     sliced = tokenfile.pa.array(["left out", None, "one, two\n\nthree", ""]).slice(1)
     parts, count = tokenfile.parts_of(sliced)
     assert parts.to_pylist() == [b"one", b",", b" two", b"\n\nthree"] and count.tolist() == [0, 4, 0]
+
+
+def test_lm_words_reach_the_tokenizer_in_slices(monkeypatch):
+    """What the library returns is far larger than the words: never for all words of a chunk at once."""
+    import public_tokenizers
+    import tokenizers
+
+    path, most = public_tokenizers.path("byte_bpe_50k.json"), []
+
+    class Watched:
+        def __init__(self, tok):
+            self.__dict__["tok"] = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, batch, **kw):
+            out = self.tok.encode_batch_fast(batch, **kw)
+            most.append(sum(len(e.ids) for e in out))
+            return out
+
+    class Files:
+        from_file = staticmethod(lambda p, real=tokenizers.Tokenizer: Watched(real.from_file(p)))
+
+    whole = tokenizers.Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    monkeypatch.setattr(tokenizers, "Tokenizer", Files)
+    some = [f"{a}{k}{b}".encode() for k in range(3000) for a, b in (("zor", "ple"), ("été", ""), ("x　", "y"))]
+    ids, n = lm.subwords(path)[0](some)
+    want = [e.ids for e in whole.encode_batch_fast([" " + w.decode() for w in some], add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    assert len(most) > 3 and max(most) < len(ids) / 3
+
+
+def test_lm_step_adds_up_repeated_symbols():
+    from closebook.llm import attention
+
+    g = np.random.default_rng(7)
+    for top in (40, 70_000):
+        index, rows = g.integers(0, top, 500), g.standard_normal((500, 16)).astype(np.float32)
+        at, total = attention.summed(index, np.ascontiguousarray(rows.T))
+        plain = np.zeros((top, 16))
+        np.add.at(plain, index, rows)
+        assert at.tolist() == sorted(set(index.tolist())) and np.allclose(total, plain[at], atol=1e-5)
+        assert np.allclose(attention.row_sums(index, rows.T, top), plain, atol=1e-5)
