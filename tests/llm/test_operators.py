@@ -444,3 +444,65 @@ def test_lm_step_adds_up_repeated_symbols():
         np.add.at(plain, index, rows)
         assert at.tolist() == sorted(set(index.tolist())) and np.allclose(total, plain[at], atol=1e-5)
         assert np.allclose(attention.row_sums(index, rows.T, top), plain, atol=1e-5)
+
+
+def test_lm_step_follows_the_gradient():
+    """The step of every weight against differences of the loss."""
+    from closebook.llm.attention import STRIDE, Attention
+
+    g = np.random.default_rng(3)
+    counts = g.integers(1, 50, 60).astype(float)
+    model = Attention(counts)
+    x, text = g.integers(0, 60, (6, 2 * STRIDE)), np.cumsum(g.random((6, 2 * STRIDE)) < 0.08, 1)
+    y = g.integers(0, 60, (6, STRIDE))
+    y[-1, -4:] = -1
+    new = model.copy()
+    new._step(x, text, y, 0.2)
+    for name, w in model.p.items():
+        grad = np.sqrt(np.maximum(new.seen[name].astype(float) - model.seen[name], 0)) * np.sign(w - new.p[name])
+        for at in np.argsort(-np.abs(grad), axis=None)[[0, 1, 2, -1]]:
+            loss = []
+            for eps in (0.01, -0.01):
+                other = model.copy()
+                other.p[name].flat[at] += eps
+                loss.append(other._step(x, text, y, 0.2))
+            assert abs((loss[0] - loss[1]) / 0.02 - grad.flat[at]) < 2e-3 + 0.02 * abs(grad.flat[at]), name
+
+
+def test_lm_scores_are_a_distribution():
+    """Over all next symbols the probabilities sum to one, in a text of its own and behind another one."""
+    from closebook.llm.attention import Attention
+
+    g = np.random.default_rng(4)
+    model = Attention(g.integers(1, 50, 60).astype(float))
+    old = g.integers(0, 60, 48)  # whole strides, so that both texts lie alike
+    model.sweep(np.tile(old, 30), np.arange(0, 1440, 48))
+    last = [model.score(np.append(old, k), np.array([0]))[-1] for k in range(60)]
+    assert abs(np.exp(np.array(last, float)).sum() - 1) < 1e-4
+    both = model.score(np.concatenate([old, old]), np.array([0, 48]))
+    assert np.allclose(both[:48], both[48:], atol=1e-4)
+
+
+def test_lm_words_are_encoded_with_their_counts(spark):
+    """Scoring gets the ids by the join with the counts; only words that no
+    training text has go to the tokenizer there."""
+    from pyspark.sql import functions as F
+
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    d = spark.createDataFrame([(1, "Grün grün zorple zorple x"), (2, "x ünïcôdé"), (3, None), (4, "")], "doc_id long, text string").withColumn("grp", F.lit(0))
+    counts = lm.with_ids(lm.word_counts(d, [0]), path)
+    got = {bytes(r.word): (r.c, list(r.by), np.frombuffer(r.ids, "<i4").tolist()) for r in counts.collect()}
+    assert {w: v[0] for w, v in got.items()} == {"grün".encode(): 2, b"zorple": 2, b"x": 2, "ünïcôdé".encode(): 1, b"": 4}
+    encode, size = lm.subwords(path)
+    assert all(v[2] == (encode([w])[0].tolist() if w else []) and v[1] == [v[0]] for w, v in got.items())
+    assert np.array_equal(lm.subword_counts(counts, path), lm.subword_counts(lm.word_counts(d, [0]), path))
+    column = lm.pa.array([np.array(v, "<i4").tobytes() for v in ([7], [], [8, 9])], lm.pa.binary())
+    ids, n = lm.ordered(*lm.numbers(column.slice(1)), np.array([1, 0]))
+    assert ids.tolist() == [8, 9] and n.tolist() == [2, 0]
+
+
+def test_lm_chunks_are_scored_in_tasks_of_their_own(docs):
+    """No task gets several chunks while others get none."""
+    P = pytest.importorskip("public_tokenizers")
+    assert lm.score(docs, P.path("byte_bpe_50k.json")).rdd.getNumPartitions() == 12
