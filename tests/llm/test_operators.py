@@ -492,14 +492,27 @@ def test_lm_words_are_encoded_with_their_counts(spark):
     path = P.path("byte_bpe_50k.json")
     d = spark.createDataFrame([(1, "Grün grün zorple zorple x"), (2, "x ünïcôdé"), (3, None), (4, "")], "doc_id long, text string").withColumn("grp", F.lit(0))
     counts = lm.with_ids(lm.word_counts(d, [0]), path)
-    got = {bytes(r.word): (r.c, list(r.by), np.frombuffer(r.ids, "<i4").tolist()) for r in counts.collect()}
+    got = {bytes(r.word): (r.c, list(r.by), np.frombuffer(r.ids, "<u2").tolist()) for r in counts.collect()}
     assert {w: v[0] for w, v in got.items()} == {"grün".encode(): 2, b"zorple": 2, b"x": 2, "ünïcôdé".encode(): 1, b"": 4}
     encode, size = lm.subwords(path)
     assert all(v[2] == (encode([w])[0].tolist() if w else []) and v[1] == [v[0]] for w, v in got.items())
     assert np.array_equal(lm.subword_counts(counts, path), lm.subword_counts(lm.word_counts(d, [0]), path))
-    column = lm.pa.array([np.array(v, "<i4").tobytes() for v in ([7], [], [8, 9])], lm.pa.binary())
-    ids, n = lm.ordered(*lm.numbers(column.slice(1)), np.array([1, 0]))
-    assert ids.tolist() == [8, 9] and n.tolist() == [2, 0]
+    for top in (9, 70_000):
+        column = lm.pa.array([np.array(v, lm.id_type(top)).tobytes() for v in ([7], [], [8, top])], lm.pa.binary())
+        ids, n = lm.taken(*lm.numbers(column.slice(1), top), np.array([1, 0]))
+        assert ids.tolist() == [8, top] and n.tolist() == [2, 0]
+
+
+def test_lm_remembers_a_bounded_number_of_words(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(lm, "KEPT", 5)
+    known, plain = lm.Remembering(path), lm.subwords(path)[0]
+    for some in (["zorple", "été", "a"], ["a", "grün", "zorple", "été", "blau", "rot"], ["rot", "a", "x"], []):
+        some = [w.encode() for w in some]
+        (ids, n), (want, m) = known(some), plain(some)
+        assert ids.tolist() == want.tolist() and n.tolist() == m.tolist()
+    assert len(known.row) == len(known.n) == 5 and len(known.ids) == known.n.sum()
 
 
 def test_lm_chunks_are_scored_in_tasks_of_their_own(docs):
