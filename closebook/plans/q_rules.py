@@ -81,13 +81,10 @@ def _make(key: str, rule_sets, doc_type="PO", extra=None, remark=None):
     kw = {"remark_col": remark} if remark else {}
 
     def spark_q(spark, sf):
-        df = FL.enrich_po(Tables(spark, sf))
         ctx = FL.ctx_for(doc_type=doc_type)
         for k, v in extra.items():
             setattr(ctx, k, v)
-        for rs in rule_sets:
-            df = R.apply_rules(df, R.load_rules(rs), ctx, **kw)
-        return df.select(*cols)
+        return FL.enriched_and_ruled(Tables(spark, sf), ctx, rule_sets, **kw).select(*cols)
 
     sql = FL.rules_sql("po_enriched", rule_sets, doc_type=doc_type, extra=extra, **kw)
     register(key, f"SELECT {', '.join(cols)} FROM ({sql}) r")(spark_q)
@@ -127,4 +124,5 @@ LABEL_DONE = "已完成"
 @register("status_labels", f"""SELECT {', '.join(COLS)}, {REMARK}, CASE WHEN coalesce(contains(status, '{LABEL_DONE}'), false) THEN 'Y' ELSE 'N' END AS accrue
 FROM ({FL.rules_sql(f"({FL.rules_sql('po_enriched', ['receipt_month'])}) e", LABEL_SETS, columns={**FL.ENRICHED_TYPES, 'status': 'string', 'status_rule': 'bigint', 'status_note': 'string'}, remark_col=REMARK)}) r""")
 def status_labels(spark, sf):
-    return labelled(FL.enrich_po(Tables(spark, sf)), FL.ctx_for()).select(*COLS, REMARK, "accrue")
+    ctx = FL.ctx_for()
+    return labelled(FL.enrich_po(Tables(spark, sf), ctx=ctx, rule_sets=("receipt_month", *LABEL_SETS)), ctx).select(*COLS, REMARK, "accrue")
