@@ -1,5 +1,7 @@
 """What goes through shuffles and files: lines carry results of checks, not the
-texts; remarks are shuffled once."""
+texts; remarks are shuffled once; written lines are compressed."""
+
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from closebook.operators import rules as R
 from closebook.operators.lookups import remark_with_fallback
+from closebook.plans import q_sources as S
 from closebook.sources import adapter as A
+from closebook.sources import io
 from closebook.sources.testdata import Tables, spread
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +107,11 @@ def test_raw_lines_are_shuffled_as_small_numbers(spark, conf):
     for key in ("l_orderkey", "l_partkey"):
         [cols] = shuffled(A.po_raw(Tables(spark, SF)), key)
         assert not cols & {"l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "o_orderpriority", "o_orderstatus"}
+
+
+def test_snapshots_and_the_landed_extract_are_compressed(spark):
+    path = io.snapshot(spark.range(10), spark, "t", "PO", 199806, "test")
+    assert io.resume(spark, path).count() == 10
+    assert [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".zstd.parquet")]
+    files = S.scan_csv(spark, SF).inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)
