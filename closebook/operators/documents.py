@@ -78,14 +78,15 @@ def asset_status(lines: DataFrame, rules: AssetRules, run_month: int, doc: str =
     }).drop("_verdict")
 
 
-def deposit_status(lines: DataFrame, run_month: int, pattern: str, posted: str = "posted",
+def deposit_status(lines: DataFrame, run_month: int, pattern: str | Column, posted: str = "posted",
                    incomplete: str = "incomplete_deposit", doc: str = "po_number") -> DataFrame:
     """A-17: documents with a deposit line that is not posted, told by the
-    description; if the latest receipt month of **all** lines of the document is
+    description (or by a Column, where that was read before); if the latest receipt month of **all** lines of the document is
     after the run month, its lines that are not posted become incomplete."""
     open_ = F.coalesce(F.col("status"), F.lit("")) != posted
+    deposit = has(F.col("item_description"), pattern) if isinstance(pattern, str) else pattern
     late = (lines.where(F.col(doc).isNotNull()).groupBy(doc)
-            .agg(F.max("erm").alias("_erm"), F.bool_or(has(F.col("item_description"), pattern) & open_).alias("_deposit"))
+            .agg(F.max("erm").alias("_erm"), F.bool_or(deposit & open_).alias("_deposit"))
             .where(F.col("_deposit") & (F.col("_erm") > run_month)).select(doc, F.lit(True).alias("_late")))
     out = lines.join(late, doc, "left")
     return out.withColumn("deposit_status", F.when(F.col("_late") & open_, F.lit(incomplete)).otherwise(F.col("status"))).drop("_late")

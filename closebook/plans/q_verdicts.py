@@ -59,10 +59,12 @@ FROM (SELECT s.*, g.doc_max_erm, coalesce(g.has_dep, false) AS has_dep FROM po_s
                         bool_or(coalesce(regexp_matches(item_description, '(?i){DEPOSIT}'), false) AND coalesce(status, '') <> 'posted') AS has_dep
                  FROM po_status GROUP BY po_number) g ON s.po_number = g.d) x""")
 def deposit_status(spark, sf):
-    """A-17; the lines and their documents' facts share a ledger that is computed once."""
-    df = FL.ledger(Tables(spark, sf)).select("po_line", "po_number", "item_description", "erm", "status")
+    """A-17; the lines and their documents' facts share a ledger that is computed once.
+    The description is read before the lookups, which carry only what it says."""
+    led = FL.ledger(Tables(spark, sf), own={"deposit": D.has(F.col("item_description"), DEPOSIT)})
+    df = led.select("po_line", "po_number", "deposit", "erm", "status")
     df = io.resume(spark, io.snapshot(df, spark, "deposits", "PO", RUN_MONTH, "ledger"))
-    return D.deposit_status(df, RUN_MONTH, DEPOSIT).select("po_line", "status", "deposit_status")
+    return D.deposit_status(df, RUN_MONTH, F.col("deposit")).select("po_line", "status", "deposit_status")
 
 
 _FIELDS = ("po_line", "department", "supplier", "product_code", "item_description", "entry_amount")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from closebook.operators import documents as D
 from closebook.operators import rules as R
 from closebook.operators.lookups import remark_with_fallback
 from closebook.plans import q_sources as S
@@ -115,3 +116,12 @@ def test_snapshots_and_the_landed_extract_are_compressed(spark):
     assert [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".zstd.parquet")]
     files = S.scan_csv(spark, SF).inputFiles()
     assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_deposit_lines_may_be_told_by_a_column(spark):
+    df = spark.createDataFrame([("a", "1", "Deposit x", 199901, "open"), ("b", "1", "x", 199801, "posted"), ("c", "1", None, None, None), ("d", "2", "deposit", 199801, "open"), ("e", None, "deposit", 199901, None)],
+                               "po_line string, po_number string, item_description string, erm int, status string")
+    told = df.withColumn("deposit", D.has(F.col("item_description"), "deposit")).drop("item_description")
+    by_text = {r.po_line: r.deposit_status for r in D.deposit_status(df, 199806, "deposit").collect()}
+    assert {r.po_line: r.deposit_status for r in D.deposit_status(told, 199806, F.col("deposit")).collect()} == by_text
+    assert by_text == {"a": "incomplete_deposit", "b": "posted", "c": "incomplete_deposit", "d": "open", "e": None}
